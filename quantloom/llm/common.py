@@ -48,7 +48,8 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, null as none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
 def lower_ascii(text: Column) -> Column:

@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, cut, let, words
 
-CLASSES = ("space", "upper", "digit", "punct", "symbol", "rest")
-SYMBOLS = "#*$%&|<>"
-UPPER = "A-ZÀ-ÖØ-Þ"
-PUNCT = r".,;:!?\"'()\-"
+CLASSES = ("space", "upper", "digit", "punct", "n_symbols", "rest")
+CHARS = {"upper": "A-ZÀ-ÖØ-Þ", "digit": "0-9", "punct": r".,;:!?\"'()\-", "n_symbols": "#*$%&|<>"}
 #: Sixteen common function words of each language.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
@@ -34,6 +32,7 @@ COMMON = {
     "es": "de la que el en y los del se las por un para con no una".split(),
     "fr": "de la le et les des en un du une que est pour qui dans sur".split(),
 }
+LONGEST = max(len(x) for listed in COMMON.values() for x in listed)
 #: Words in a repeated window, share of repeated words, least number of words.
 WINDOW, MAX_REPEAT, MIN_WORDS = 5, 20, 10
 #: References for so many languages at most are broadcast; beyond it they are joined.
@@ -64,10 +63,16 @@ def repeat_words(w: Column) -> Column:
         pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(pairs, covered))
 
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
-    )
-    return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(let(hashes, windows))
+    def joined(x: Column, y: Column, k: int) -> Column:
+        # hashes of neighbours: x at i with y at i + k
+        n = F.size(w) - WINDOW + 1 if k == WINDOW - 1 else F.size(y) - k
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    def of_words(h: Column) -> Column:
+        return let(joined(h, h, 1), lambda two: let(joined(two, two, 2), lambda four: let(joined(four, h, 4), windows)))
+
+    one = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) < WINDOW, F.lit(0)).otherwise(let(one, of_words))
 
 
 def common_words(lang: Column) -> Column:
@@ -80,7 +85,7 @@ def common_words(lang: Column) -> Column:
 
 def _histogram(w: Column, top: Column) -> Column:
     """Counts of the listed words and of all others; empty where no words are listed."""
-    common = F.filter(w, lambda x: F.array_contains(top, x))
+    common = F.filter(w, lambda x: (F.length(x) <= LONGEST) & F.array_contains(top, x))
     hist = let(
         common,
         lambda c: F.concat(
@@ -98,14 +103,14 @@ def _features(docs: DataFrame, text: str, lang: str, whole: bool) -> DataFrame:
 
     def counted(w: Column) -> Column:
         word_chars = F.length(F.array_join(w, "")).cast("long")
+        # most characters go in long runs; the classes are counted in what is left
+        odd = F.regexp_replace(t, "[a-z \\n]+", "")
+        classes = let(odd, lambda o: F.struct(*[_count(o, c).alias(n) for n, c in CHARS.items()]))
         out = [
             F.size(w).cast("long").alias("n_words"),
             word_chars.alias("word_chars"),
-            _count(t, SYMBOLS).alias("n_symbols"),
             (F.length(t) - word_chars).alias("space"),
-            _count(t, UPPER).alias("upper"),
-            _count(t, "0-9").alias("digit"),
-            _count(t, PUNCT).alias("punct"),
+            classes.alias("classes"),
             let(top, lambda k: _histogram(w, k)).alias("hist"),
         ]
         if whole:
@@ -120,22 +125,23 @@ def _features(docs: DataFrame, text: str, lang: str, whole: bool) -> DataFrame:
 
 
 def _classes() -> list[Column]:
-    q = {c: F.col(f"_q.{c}") for c in ("word_chars", "space", "upper", "digit", "punct", "n_symbols")}
-    named = [q["space"], q["upper"], q["digit"], q["punct"], q["n_symbols"]]
-    return [*named, q["word_chars"] - q["upper"] - q["digit"] - q["punct"] - q["n_symbols"]]
+    named = [F.col(f"_q.classes.{c}") for c in CHARS]
+    rest = F.col("_q.word_chars")
+    for c in named:
+        rest = rest - c
+    return [F.col("_q.space"), *named, rest]
 
 
 def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def language_references(features: DataFrame, lang: str = "lang") -> DataFrame:
     """One row per language: ``_lang``, ``_ref_chars`` (shares by class), ``_ref_words``
     (shares of the listed words and of all others, empty without a list)."""
     n = 1 + max(map(len, COMMON.values()))
     sums = (
-        _features(docs.select(text, lang), text, lang, whole=False)
-        .select(
+        features.select(
             F.coalesce(F.col(lang), F.lit("")).alias("_lang"),
             *[x.alias(c) for x, c in zip(_classes(), CLASSES, strict=True)],
             *[F.get("_q.hist", F.lit(k)).alias(f"w{k}") for k in range(n)],
@@ -168,18 +174,28 @@ def quality_rules(
     max_char_distance: float = 0.3,
     min_words_listed: int = 100,
     max_word_distance: float = 0.28,
+    keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, char_distance, word_distance (null where not compared) and kept.
 
-    Input columns of these names are replaced.
+    Input columns of these names are replaced. Without ``keep_text`` the text column goes
+    and the counts of each row, a few hundred bytes, are staged and used for references
+    and verdicts; with it, the counts that the references need are taken in a scan of
+    their own, since staging whole texts would cost more than a scan.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     made = {*names, "base_failed", "char_distance", "word_distance", "kept", "_q", "_lang", "_ref_chars", "_ref_words"}
     docs = docs.select([c for c in docs.columns if c not in made])
-    refs = cut(language_references(docs, text, lang))
+    counted = _features(docs, text, lang, whole=True)
+    if keep_text:
+        refs = cut(language_references(_features(docs.select(text, lang), text, lang, whole=False), lang))
+    else:
+        docs = docs.drop(text)
+        counted = cut(counted.drop(text))
+        refs = cut(language_references(counted, lang))
     few = refs.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
-    counted = _features(docs, text, lang, whole=True).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
+    counted = counted.withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
     # a language may hold most rows, so its references come to the rows by broadcast;
     # with more languages than any catalogue has, by a join that AQE splits
     joined = counted.join(F.broadcast(refs) if few else refs, "_lang", "left")
@@ -192,7 +208,7 @@ def quality_rules(
     far = lambda d, most: F.coalesce(F.col(d) > most, F.lit(False))
     return joined.select(
         *[F.col(c) for c in docs.columns],
-        *[q(n).alias(n) for n in names],
+        *[q("classes.n_symbols" if n == "n_symbols" else n).alias(n) for n in names],
         failed.alias("base_failed"),
         F.round(of_chars, 9).alias("char_distance"),
         F.round(of_words, 9).alias("word_distance"),

@@ -45,7 +45,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the divergence verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.quality_rules(docs).drop("text", "lang")
+    return quality.quality_rules(docs, keep_text=False).drop("lang")
 
 
 QUERIES = {
