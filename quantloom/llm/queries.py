@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, urls
+from . import chat, lines, minhash, mixing, pieces, quality, urls
 from .common import table
 
 #: Host and path rules of the URL filter.
@@ -16,6 +16,7 @@ URL_RULES = {
     "com/fr/": "allow",
     "com/de/": "block",
 }
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -48,9 +49,37 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, keep_text=False).drop("lang")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """Token ids of every document's whole text, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_decode(docs, pieces.read_model(spark, model_path), keep_text=False)
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block and slot in the mix; targets are the square roots of the sources' sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs)
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are similar by 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, n=4)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the passages that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
+    "op4_mix_sources": op4_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op8_minhash": op8_minhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLE: dict[str, str] = {}
