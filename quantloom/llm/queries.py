@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, minhash, mixing, pieces, quality, urls
+from . import chat, html, lines, minhash, mixing, pieces, quality, toxicity, urls, vectors
 from .common import table
 
 #: Host and path rules of the URL filter.
@@ -37,6 +37,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document's whole text; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL by the rules, then by the language models."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -55,12 +62,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_
     return pieces.encode_decode(docs, pieces.read_model(spark, model_path), keep_text=False)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return vectors.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block and slot in the mix; targets are the square roots of the sources' sizes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix_sources(docs)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_main_text(pages)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are similar by 0.8 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,10 +94,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_format": op2_chat_format,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_text": op10_html_text,
 }
 ORACLE: dict[str, str] = {}
