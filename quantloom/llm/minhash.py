@@ -7,10 +7,11 @@ equal to their Jaccard similarity. Signatures are cut into bands; documents that
 band are candidates, and a link needs similarity >= ``percent`` % on the full sets.
 
 Equal word sequences form a class first, so copies cost one row each and no pair. Within
-a band's bucket not all pairs are emitted: members are compared with three centres, links
+a band's bucket not all pairs are emitted: members are compared with two centres, links
 are joined to components, and only pairs of members that are still in different
-components are compared then. A pair left out is in one component already, so the
-components are those of all candidate pairs. With 32 bands of 5 values a pair at
+components are compared then, less those that an exact bound excludes: shingles that no
+other open document has are in no intersection. A pair left out is in one component
+already or below the limit, so the components are those of all candidate pairs. With 32 bands of 5 values a pair at
 similarity 0.8 is missed with probability 3e-6, at 0.9 with 1e-12.
 
 Sets are compared as sorted arrays of 64-bit shingle hashes. Texts are read in two scans,
@@ -107,6 +108,13 @@ def _sets(n: int):
     return run
 
 
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        h = [np.frombuffer(x, np.int64) for x in pdf["s"]]
+        if h:
+            yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), [len(x) for x in h]), "h": np.concatenate(h)})
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,16 +160,20 @@ def near_duplicates(
     members = classes.select(F.col("_id").alias("id"), "n_shingles", F.posexplode("bands").alias("k", "v")).select(
         "id", "n_shingles", F.xxhash64("k", "v").alias("bucket")
     )
-    shared = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("n_shingles").alias("m"))).alias(f"c{k}")
-          for k, order in enumerate((F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(7))))],
-    ).where("size > 1")
-    members = cut(members.join(shared.select("bucket", "c0", "c1", "c2"), "bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut(members.join(shared, "bucket"))
+    # two centres of a bucket: the smallest id, and the one that shares most buckets with
+    # others, which among edited copies of a text is the text or close to it
+    spread = members.groupBy("id").agg(F.sum("size").alias("spread"))
+    facts = F.struct("id", F.col("n_shingles").alias("m"))
+    centres = members.join(spread, "id").groupBy("bucket").agg(
+        F.min(facts).alias("c0"), F.max_by(facts, F.struct("spread", F.xxhash64("id"), "id")).alias("c1")
+    )
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = (
-        members.select("id", "n_shingles", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    stars = cut(
+        members.join(cut(centres), "bucket")
+        .select("id", "n_shingles", F.explode(F.array("c0", "c1")).alias("c"))
         .where((F.col("id") != F.col("c.id")) & fits(F.col("n_shingles"), F.col("c.m")))
         .select(*ordered(F.col("id"), F.col("c.id")))
         .distinct()
@@ -169,7 +181,7 @@ def near_duplicates(
     ids = members.select(F.col("id").alias("_id")).distinct()
     sets = cut(body.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).mapInPandas(_sets(n), f"_id {kind}, s binary"))
     edges = cut(_verified(stars, sets, percent))
-    comps = components(edges)
+    comps = cut(components(edges))
     placed = cut(
         members.select("id", "n_shingles", "bucket")
         .join(comps, "id", "left")
@@ -178,12 +190,21 @@ def near_duplicates(
     # what is left: members of one bucket in different components
     several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     open_ = cut(placed.join(several, "bucket"))
+    # Shingles that no other open document has can be in no intersection. With c others
+    # left of n, the similarity to a set of m is at most min(c, c') / (n + m - min(c, c')).
+    flat = sets.join(open_.select(F.col("id").alias("_id")).distinct(), "_id").mapInPandas(_exploded, f"_id {kind}, h long")
+    common = flat.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo = hi")
+    private = common.groupBy(F.col("lo").alias("id")).agg(F.count(F.lit(1)).alias("u"))
+    open_ = open_.join(private, "id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("u", F.lit(0))).drop("u")
+    reach = lambda c, n, m: 100 * c >= percent * (n + m - c)
+    least = open_.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    open_ = cut(open_.join(least, "bucket").where(reach(F.col("c"), F.col("n_shingles"), F.greatest("least", "c"))).drop("least"))
     others = open_.select("bucket", F.col("comp").alias("other")).distinct()
     mine = open_.join(others, "bucket").where("comp < other")
-    theirs = open_.select("bucket", F.col("comp").alias("other"), F.col("id").alias("id2"), F.col("n_shingles").alias("m2"))
+    theirs = open_.select("bucket", F.col("comp").alias("other"), F.col("id").alias("id2"), F.col("n_shingles").alias("m2"), F.col("c").alias("c2"))
     cross = (
         mine.join(theirs, ["bucket", "other"])
-        .where(fits(F.col("n_shingles"), F.col("m2")))
+        .where(reach(F.least("c", "c2"), F.col("n_shingles"), F.col("m2")))
         .select(*ordered(F.col("id"), F.col("id2")))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
