@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import average_rank, corr_pop, expanding, guarded, ordered, past_only, safe_div, safe_ln
 
-BY = Window.partitionBy("asset").orderBy("date")
-WHOLE = Window.partitionBy("asset")
 
 
 def crash_labels(prices: DataFrame, horizon: int = 20, q: float = 0.05, min_history: int = 504, lower: bool = True, causal: bool = False) -> DataFrame:
@@ -17,7 +15,7 @@ def crash_labels(prices: DataFrame, horizon: int = 20, q: float = 0.05, min_hist
     The threshold at t uses forward returns up to row t-1, which end after t; ``causal`` takes
     only those that have ended by t. The last rows have no label."""
     lag = horizon if causal else 1
-    x = prices.withColumn("fwd", F.round(safe_ln(safe_div(F.lead("close", horizon).over(BY), "close")), 10))
+    x = prices.withColumn("fwd", F.round(safe_ln(safe_div(F.lead("close", horizon).over(ordered()), "close")), 10))
     w = expanding(lag=lag)
     t = guarded(F.percentile("fwd", F.lit(q if lower else 1 - q)), "fwd", w, min_history)
     x = x.withColumn("threshold", t)
@@ -34,7 +32,7 @@ def jumps_to_labels(x: DataFrame, horizon: int = 20, jump: str = "jump") -> Data
 def ews_indicators(x: DataFrame, state: str = "state", ret: str = "r", window: int = 60) -> DataFrame:
     """Over the ``window`` rows before each: variance and skewness of the state, its lag-1 and lag-2
     autocorrelation and AR(1) coefficient, variance of returns, kappa = -ln phi."""
-    y = x.withColumn("s1", F.lag(state, 1).over(BY)).withColumn("s2", F.lag(state, 2).over(BY))
+    y = x.withColumn("s1", F.lag(state, 1).over(ordered())).withColumn("s2", F.lag(state, 2).over(ordered()))
     w = past_only(window)
     n = F.count(state).over(w)
     var, cov = F.var_pop(state).over(w), F.covar_pop(state, "s1").over(w)
@@ -71,8 +69,8 @@ def stratified_lift(x: DataFrame, signal: str, control: str, label: str, stratum
 
 def precursor_shift(x: DataFrame, signal: str, label: str, window: int = 20) -> DataFrame:
     """Mean standardised signal in the rows before an onset (label turning 1), and elsewhere."""
-    z = x.where(F.col(signal).isNotNull()).withColumn("z", F.try_divide(F.col(signal) - F.avg(signal).over(WHOLE), F.stddev_pop(signal).over(WHOLE)))
-    onset = ((F.col(label) == 1) & (F.coalesce(F.lag(label).over(BY), F.lit(0)) == 0)).cast("int")
+    z = x.where(F.col(signal).isNotNull()).withColumn("z", F.try_divide(F.col(signal) - F.avg(signal).over(Window.partitionBy("asset")), F.stddev_pop(signal).over(Window.partitionBy("asset"))))
+    onset = ((F.col(label) == 1) & (F.coalesce(F.lag(label).over(ordered()), F.lit(0)) == 0)).cast("int")
     y = z.withColumn("on", F.coalesce(onset, F.lit(0))).withColumn("pre", F.coalesce(F.max("on").over(ordered().rowsBetween(1, window)), F.lit(0)))
     return y.groupBy("asset").agg(F.avg(F.when(F.col("pre") == 1, F.col("z"))).alias("before"), F.avg(F.when(F.col("pre") == 0, F.col("z"))).alias("elsewhere"), F.sum("on").alias("onsets"))
 
@@ -96,7 +94,7 @@ def symbolize(x: DataFrame, value: str, bins: int = 3) -> DataFrame:
     y = x.where(F.col(value).isNotNull())
     sym = F.lit(0)
     for k in range(1, bins):
-        y = y.withColumn(f"_e{k}", F.percentile(value, F.lit(k / bins)).over(WHOLE))
+        y = y.withColumn(f"_e{k}", F.percentile(value, F.lit(k / bins)).over(Window.partitionBy("asset")))
         sym = sym + (F.col(value) >= F.col(f"_e{k}")).cast("int")
     return y.withColumn("symbol", sym).drop(*[f"_e{k}" for k in range(1, bins)])
 
@@ -105,7 +103,7 @@ def ngram_entropy_production(x: DataFrame, n: int = 3, bins: int = 3, alpha: flo
     """Divergence of forward from reversed n-grams of ``symbol`` in bits per step, alpha added to every cell."""
     code, back = F.lit(0), F.lit(0)
     for k in range(n):
-        s = F.lead("symbol", k).over(BY)
+        s = F.lead("symbol", k).over(ordered())
         code = code * bins + s
         back = back + s * F.lit(bins**k)
     grams = x.select("asset", code.alias("f"), back.alias("b")).where("f is not null")
@@ -120,7 +118,7 @@ def ngram_entropy_production(x: DataFrame, n: int = 3, bins: int = 3, alpha: flo
 
 def exceedances(x: DataFrame, value: str, q: float = 0.95) -> DataFrame:
     """Rows whose absolute value is above its quantile, with their position."""
-    y = x.where(F.col(value).isNotNull()).withColumn("pos", F.row_number().over(BY) - 1).withColumn("_q", F.percentile(F.abs(value), F.lit(q)).over(WHOLE))
+    y = x.where(F.col(value).isNotNull()).withColumn("pos", F.row_number().over(ordered()) - 1).withColumn("_q", F.percentile(F.abs(value), F.lit(q)).over(Window.partitionBy("asset")))
     return y.where(F.abs(F.col(value)) > F.col("_q")).select("asset", "date", F.col("pos").cast("long").alias("pos"))
 
 
@@ -131,7 +129,7 @@ def real_range_audit(bars: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def autocorr(x: DataFrame, value: str, lag: int) -> DataFrame:
-    return x.withColumn("_l", F.lag(value, lag).over(BY)).groupBy("asset").agg(corr_pop(value, "_l").alias("acf"))
+    return x.withColumn("_l", F.lag(value, lag).over(ordered())).groupBy("asset").agg(corr_pop(value, "_l").alias("acf"))
 
 
 def sharpe_ceiling(mi_nats: Column) -> Column:
@@ -147,5 +145,5 @@ def causal_features(rets: DataFrame) -> DataFrame:
     """Sign, sign of the trailing 21-row sum, tercile of volatility, sign of the next return."""
     w21 = ordered().rowsBetween(-20, 0)
     y = rets.withColumn("sg", F.signum("r").cast("int")).withColumn("mom", F.when(F.count("r").over(w21) >= 21, F.signum(F.round(F.sum("r").over(w21), 8)).cast("int")))
-    y = y.withColumn("vol", F.round(F.sqrt(F.avg(F.col("r") * F.col("r")).over(w21)), 10)).withColumn("next", F.signum(F.lead("r").over(BY)).cast("int"))
+    y = y.withColumn("vol", F.round(F.sqrt(F.avg(F.col("r") * F.col("r")).over(w21)), 10)).withColumn("next", F.signum(F.lead("r").over(ordered())).cast("int"))
     return terciles(y.where("mom is not null and next is not null"), "vol", "volt")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import corr_pop, guarded, kurt_g2, ordered, safe_div, safe_ln, trailing
 
-BY = Window.partitionBy("asset").orderBy("date")
-WHOLE = Window.partitionBy("asset")
 LAGS = (1, 2, 3, 4, 5, 7, 9, 11, 15, 19, 24, 32, 41, 50)
 QS = (0.5, 1.0, 1.5, 2.0, 3.0)
 
@@ -18,7 +16,7 @@ def scaling_moments(gk: DataFrame, lags: tuple[int, ...] = LAGS, qs: tuple[float
 
     All lags are leads of one sorted window, unpivoted by one explode: one shuffle."""
     x = gk.where("gk_var is not null").select("asset", "date", (0.5 * F.log("gk_var")).alias("l"))
-    inc = F.array(*[F.struct(F.lit(d).alias("delta"), F.abs(F.lead("l", d).over(BY) - F.col("l")).alias("i")) for d in lags])
+    inc = F.array(*[F.struct(F.lit(d).alias("delta"), F.abs(F.lead("l", d).over(ordered()) - F.col("l")).alias("i")) for d in lags])
     flat = x.withColumn("inc", inc).select("asset", F.explode("inc").alias("z")).where("z.i is not null")
     sums = flat.groupBy("asset", F.col("z.delta").alias("delta")).agg(*[F.avg(F.pow("z.i", F.lit(q))).alias(f"q{k}") for k, q in enumerate(qs)])
     rows = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{k}").alias("m")) for k, q in enumerate(qs)])
@@ -34,7 +32,7 @@ def hurst(gk: DataFrame, lags: tuple[int, ...] = LAGS, qs: tuple[float, ...] = Q
 def subwindow_hurst(gk: DataFrame, rows: int = 1000) -> DataFrame:
     """H in windows of ``rows`` rows that overlap by half."""
     half = rows // 2
-    n = gk.where("gk_var is not null").withColumn("k", F.floor((F.row_number().over(BY) - 1) / half).cast("int"))
+    n = gk.where("gk_var is not null").withColumn("k", F.floor((F.row_number().over(ordered()) - 1) / half).cast("int"))
     both = n.withColumn("w", F.explode(F.array("k", F.col("k") - 1))).where("w >= 0")
     full = both.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("asset", "w"))).where(F.col("size") >= rows)
     keyed = full.withColumn("asset", F.concat_ws("#", "asset", F.col("w").cast("string")))
@@ -45,15 +43,15 @@ def subwindow_hurst(gk: DataFrame, rows: int = 1000) -> DataFrame:
 def standardized(bars: DataFrame, smooth: int = 1, lag: int = 0) -> DataFrame:
     """``bars`` (with gk_var) plus r and z = r over the root of the smoothed, lagged variance."""
     v = F.avg("gk_var").over(trailing(smooth)) if smooth > 1 else F.col("gk_var")
-    x = bars.withColumn("r", F.round(safe_ln(safe_div("close", F.lag("close").over(BY))), 10)).withColumn("v", v)
+    x = bars.withColumn("r", F.round(safe_ln(safe_div("close", F.lag("close").over(ordered()))), 10)).withColumn("v", v)
     if lag:
-        x = x.withColumn("v", F.lag("v", lag).over(BY))
+        x = x.withColumn("v", F.lag("v", lag).over(ordered()))
     return x.withColumn("z", F.round(safe_div("r", F.sqrt("v")), 8))
 
 
 def trimmed(x: DataFrame, value: str, sigmas: float = 12.0) -> DataFrame:
     """Rows within so many deviations of the mean of the asset."""
-    m, s = F.avg(value).over(WHOLE), F.stddev_samp(value).over(WHOLE)
+    m, s = F.avg(value).over(Window.partitionBy("asset")), F.stddev_samp(value).over(Window.partitionBy("asset"))
     return x.where(F.col(value).isNotNull()).withColumn("_m", m).withColumn("_s", s).where(F.abs(F.col(value) - F.col("_m")) < sigmas * F.col("_s")).drop("_m", "_s")
 
 
@@ -77,8 +75,8 @@ def market_clock_deformation(bars: DataFrame) -> DataFrame:
 
 def logvol_signal_variance(gk: DataFrame) -> DataFrame:
     """Variance of persistent log volatility: c1^2 / c2 from autocovariances at lags 1 and 2."""
-    x = gk.where("gk_var is not null").select("asset", "date", (0.5 * F.log("gk_var")).alias("l")).withColumn("d", F.col("l") - F.avg("l").over(WHOLE))
-    s = x.withColumn("d1", F.lag("d", 1).over(BY)).withColumn("d2", F.lag("d", 2).over(BY)).groupBy("asset").agg(
+    x = gk.where("gk_var is not null").select("asset", "date", (0.5 * F.log("gk_var")).alias("l")).withColumn("d", F.col("l") - F.avg("l").over(Window.partitionBy("asset")))
+    s = x.withColumn("d1", F.lag("d", 1).over(ordered())).withColumn("d2", F.lag("d", 2).over(ordered())).groupBy("asset").agg(
         F.avg(F.col("d") * F.col("d1")).alias("c1"), F.avg(F.col("d") * F.col("d2")).alias("c2"), F.var_pop("d").alias("c0")
     )
     raw = F.when((F.col("c1") > 0) & (F.col("c2") > 0), F.least(F.col("c1") * F.col("c1") / F.col("c2"), F.col("c0")))
@@ -94,7 +92,7 @@ def kurtosis_law(bars: DataFrame) -> DataFrame:
 
 def mrw_lambda2(rets: DataFrame, deltas: tuple[int, ...] = (1, 2, 4, 8, 16, 32), qs: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """Multifractal curvature: zeta(q) over non-overlapping blocks, fitted as q H - lambda2 q (q - 2) / 2."""
-    x = rets.withColumn("d", F.col("r") - F.avg("r").over(WHOLE)).withColumn("rn", F.row_number().over(BY) - 1)
+    x = rets.withColumn("d", F.col("r") - F.avg("r").over(Window.partitionBy("asset"))).withColumn("rn", F.row_number().over(ordered()) - 1)
     one = x.select("asset", "rn", "d", F.explode(F.array(*map(F.lit, deltas))).alias("delta"))
     blocks = one.groupBy("asset", "delta", F.floor(F.col("rn") / F.col("delta")).alias("b")).agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n")).where("n = delta")
     m = blocks.groupBy("asset", "delta").agg(*[F.avg(F.pow(F.abs("s"), F.lit(q))).alias(f"q{k}") for k, q in enumerate(qs)])
@@ -111,7 +109,7 @@ def mrw_lambda2(rets: DataFrame, deltas: tuple[int, ...] = (1, 2, 4, 8, 16, 32),
 def lag_corr(x: DataFrame, a: Column, b: Column, taus: range) -> DataFrame:
     """corr(a_t, b_{t+tau}) per asset and tau; all leads share one window."""
     y = x.select("asset", "date", a.alias("a"), b.alias("b"))
-    arr = F.array(*[F.struct(F.lit(t).alias("tau"), F.lead("b", t).over(BY).alias("y")) for t in taus])
+    arr = F.array(*[F.struct(F.lit(t).alias("tau"), F.lead("b", t).over(ordered()).alias("y")) for t in taus])
     return y.withColumn("arr", arr).select("asset", "a", F.explode("arr").alias("z")).groupBy("asset", F.col("z.tau").alias("tau")).agg(corr_pop("a", "z.y").alias("c"))
 
 
@@ -134,7 +132,7 @@ def zumbach(x: DataFrame, taus: range = range(1, 21)) -> DataFrame:
 
 def weekly_logvol(gk: DataFrame, week: int = 5) -> DataFrame:
     """Means of log volatility over whole blocks of ``week`` rows."""
-    x = gk.where("gk_var is not null").withColumn("b", F.floor((F.row_number().over(BY) - 1) / week).cast("long"))
+    x = gk.where("gk_var is not null").withColumn("b", F.floor((F.row_number().over(ordered()) - 1) / week).cast("long"))
     g = x.groupBy("asset", "b").agg(F.avg(0.5 * F.log("gk_var")).alias("logvol"), F.max("date").alias("date"), F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") == week).select("asset", "b", "date", F.round("logvol", 10).alias("logvol"))
 
