@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .volatility import qlike
 
 #: Schema of the ledger: LIVE rows carry weights, GAP rows a reason, REANCHOR rows factors.
-LEDGER = T.StructType.fromDDL(
+LEDGER = (
     "date date, status string, as_of date, regime string, forecast_vol_ann double, exposure double, weights map<string,double>,"
     " input_digest string, code_version string, reason string, factors map<string,double>"
 )
