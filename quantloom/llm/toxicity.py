@@ -96,8 +96,8 @@ def _rows(table: np.ndarray):
 def _logistic(at: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio, by accelerated gradient steps."""
     lengths = np.array([len(a) for a in at])
-    flat = np.concatenate(at) if lengths.sum() else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(at)), lengths)
+    flat = np.concatenate(at) if lengths.sum() else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(at), dtype=np.int32), lengths)
     x = ratios[flat]
     k, n = len(ratios), len(y)
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
@@ -125,12 +125,12 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 20_000,
+    max_rows: int = 16_000,
     min_share: float = 0.003,
-    features: int = 20_000,
+    features: int = 4_000,
     alpha: float = 1.0,
     penalty: float = 1e-4,
-    rounds: int = 400,
+    rounds: int = 250,
 ) -> Classifier:
     """Fit on labelled rows that are not held out."""
     small_batches(docs.sparkSession)
