@@ -1,0 +1,145 @@
+"""Bootstrap, permutation and Monte-Carlo fan-outs: one group per chunk of draws, seeds by key.
+
+A series travels to each chunk once; draws are reduced inside it, so no resampled row is
+ever shuffled."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..kernels import information as N
+from ..kernels import worlds as W
+from .models import per_series
+
+
+def fan_out(x: DataFrame, by: list[str], draws: int, chunks: int, fn: Callable[[pd.DataFrame, np.random.Generator], dict[str, float]], names: list[str], seed: int = 42) -> DataFrame:
+    """One row per series and draw with the named statistics of ``fn(series, generator)``."""
+    copies = x.withColumn("chunk", F.explode(F.array(*[F.lit(k) for k in range(chunks)])))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        k = int(p["chunk"].iloc[0])
+        ids = range(k, draws, chunks)
+        got = [fn(p, W.rng_of(seed, d)) for d in ids]
+        return pd.DataFrame({"draw": list(ids), **{n: [g[n] for g in got] for n in names}})
+
+    return per_series(copies, [*by, "chunk"], run, "draw int, " + ", ".join(f"{n} double" for n in names)).drop("chunk")
+
+
+def sharpe(r: np.ndarray) -> float:
+    s = r.std(ddof=1)
+    return float(r.mean() / s * 252**0.5) if s > 0 else 0.0
+
+
+def sharpe_draws(rets: DataFrame, by: str = "u", draws: int = 400, mean_block: float = 63.0, chunks: int = 8) -> DataFrame:
+    """Stationary-bootstrap Sharpe ratios."""
+
+    def fn(p: pd.DataFrame, g: np.random.Generator) -> dict[str, float]:
+        r = p["r"].to_numpy(float)
+        return {"sharpe": sharpe(r[N.stationary_indices(len(r), mean_block, g)])}
+
+    return fan_out(rets, [by], draws, chunks, fn, ["sharpe"])
+
+
+def interval(d: DataFrame, value: str, by: str = "u", level: float = 0.95) -> DataFrame:
+    a = (1 - level) / 2
+    return d.groupBy(by).agg(F.percentile(value, F.lit(a)).alias("lo"), F.percentile(value, F.lit(0.5)).alias("mid"), F.percentile(value, F.lit(1 - a)).alias("hi"))
+
+
+def equity_fan(rets: DataFrame, by: str = "u", draws: int = 200, every: int = 21, mean_block: float = 63.0, chunks: int = 8) -> DataFrame:
+    """Percentiles of resampled value paths at every ``every`` rows."""
+    copies = rets.withColumn("chunk", F.explode(F.array(*[F.lit(k) for k in range(chunks)])))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        k, r = int(p["chunk"].iloc[0]), p["r"].to_numpy(float)
+        at = np.arange(every - 1, len(r), every)
+        rows = [(int(a), float(v)) for d in range(k, draws, chunks) for a, v in zip(at, np.cumprod(1 + r[N.stationary_indices(len(r), mean_block, W.rng_of(7, d))])[at], strict=True)]
+        return pd.DataFrame(rows, columns=["pos", "nav"])
+
+    paths = per_series(copies, [by, "chunk"], run, "pos int, nav double")
+    return paths.groupBy(by, "pos").agg(*[F.percentile("nav", F.lit(q / 100)).alias(f"p{q}") for q in (5, 25, 50, 75, 95)])
+
+
+def permutation_mi(x: DataFrame, a: str, b: str, by: str = "asset", draws: int = 200, chunks: int = 4) -> DataFrame:
+    """Observed mutual information, mean and 95 % point of its permutation null."""
+
+    def fn(p: pd.DataFrame, g: np.random.Generator) -> dict[str, float]:
+        y = p[b].to_numpy()
+        return {"null": N.plugin_mi(p[a].to_numpy(), g.permutation(y)), "mi": N.plugin_mi(p[a].to_numpy(), y)}
+
+    d = fan_out(x, [by], draws, chunks, fn, ["null", "mi"])
+    return d.groupBy(by).agg(F.max("mi").alias("mi"), F.avg("null").alias("null_mean"), F.percentile("null", F.lit(0.95)).alias("null95"))
+
+
+def harvest_gap(x: DataFrame, full: str, part: str, sign: str, by: str = "asset", draws: int = 100, block: int = 63, chunks: int = 4) -> DataFrame:
+    """Bits of the full features beyond the harvested ones, with a block-bootstrap interval and a shuffle null."""
+
+    def gap(p: pd.DataFrame, y: np.ndarray) -> float:
+        return (N.plugin_mi(p[full].to_numpy(), y) - N.plugin_mi(p[part].to_numpy(), y)) / np.log(2)
+
+    def fn(p: pd.DataFrame, g: np.random.Generator) -> dict[str, float]:
+        s = p.iloc[N.circular_indices(len(p), block, g)]
+        y = p[sign].to_numpy()
+        return {"gap": gap(p, y), "boot": gap(s, s[sign].to_numpy()), "null": gap(p, g.permutation(y))}
+
+    d = fan_out(x, [by], draws, chunks, fn, ["gap", "boot", "null"])
+    return d.groupBy(by).agg(F.max("gap").alias("gap"), F.percentile("boot", F.lit(0.025)).alias("lo"), F.percentile("boot", F.lit(0.975)).alias("hi"), F.percentile("null", F.lit(0.95)).alias("null95"))
+
+
+def gaussian_tail_null(spark, rows: int = 2000, q: float = 0.05, draws: int = 100, rhos=tuple(round(0.05 * k, 2) for k in range(20))) -> DataFrame:
+    """Tail dependence of Gaussian pairs by correlation: mean and 95 % point over simulations; one group per correlation."""
+    cells = spark.createDataFrame([(k, float(r)) for k, r in enumerate(rhos)], "cell int, rho double")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        rho, out = float(p["rho"].iloc[0]), []
+        for d in range(draws):
+            g = W.rng_of(11, int(p["cell"].iloc[0]) * 10_000 + d)
+            a, b = g.standard_normal((2, rows))
+            b = rho * a + (1 - rho * rho) ** 0.5 * b
+            out.append(float(((a <= np.quantile(a, q)) & (b <= np.quantile(b, q))).mean() / q))
+        return pd.DataFrame({"rho": [rho], "mean": [float(np.mean(out))], "p95": [float(np.quantile(out, 0.95))]})
+
+    return cells.repartition(len(rhos), "cell").groupBy("cell").applyInPandas(fn, "rho double, mean double, p95 double")
+
+
+def variance_ratio(estimates: DataFrame, by: str, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """Variance of window means over their mean sampling variance, p from a null of equal truth, and the trend's p."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        m, s, t = p["mean"].to_numpy(float), np.maximum(p["sd"].to_numpy(float), 1e-12), p["centre"].to_numpy(float)
+        g, vr = np.random.default_rng(seed), float(m.var(ddof=1) / (s**2).mean())
+        z = g.standard_normal((draws, len(m))) * s
+        null = z.var(1, ddof=1) / (s**2).mean()
+        c = t - t.mean()
+        slope = float(c @ m / (c @ c))
+        bs = z @ c / (c @ c)
+        return pd.DataFrame({"vr": [vr], "vr_p": [float((null >= vr).mean())], "slope": [slope], "trend_p": [float((np.abs(bs) >= abs(slope)).mean())]})
+
+    return per_series(estimates, [by], fn, "vr double, vr_p double, slope double, trend_p double", order="centre")
+
+
+def confidence_set(losses: DataFrame, models: list[str], by: str = "asset", draws: int = 300) -> DataFrame:
+    """Model confidence set per series: model, mean loss, p-value, whether it stays."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        x = p[models].dropna().to_numpy(float)
+        alive, pv = N.confidence_set(x, draws=draws)
+        return pd.DataFrame({"model": models, "loss": x.mean(0), "p": [pv[k] for k in range(len(models))], "kept": [int(k in alive) for k in range(len(models))]})
+
+    return per_series(losses, [by], fn, "model string, loss double, p double, kept int")
+
+
+def deflated_sharpe(r: np.ndarray, trials: int, spread: float) -> tuple[float, float]:
+    """Expected best Sharpe of so many worthless trials, and the probability that the observed one is above it (daily units)."""
+    from ..kernels.numeric import NORMAL
+
+    e = 0.5772156649015329
+    best = spread * ((1 - e) * NORMAL.inv_cdf(1 - 1 / trials) + e * NORMAL.inv_cdf(1 - 1 / (trials * np.e)))
+    sd = r.std()
+    s, d = r.mean() / sd, (r - r.mean()) / sd
+    den = np.sqrt(max(1 - (d**3).mean() * s + ((d**4).mean() - 1) / 4 * s * s, 1e-12))
+    return float(best), float(NORMAL.cdf((s - best) * np.sqrt(len(r) - 1) / den))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from . import t1, t1b
+from . import t1, t1b, t3
 
-QUERIES = {**t1.QUERIES}
+QUERIES = {**t1.QUERIES, **t1b.QUERIES, **t3.QUERIES}
 ORACLE = {**t1.ORACLE}
-
-assert t1b.QUERIES is t1.QUERIES
