@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, lines, minhash, mixing, pieces, quality, toxicity, urls, vectors
+from . import chat, html, lines, minhash, mixing, pieces, quality, sql, toxicity, urls, vectors
 from .common import table
 
 #: Host and path rules of the URL filter.
@@ -53,7 +53,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the divergence verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.quality_rules(docs, keep_text=False).drop("lang")
+    out = quality.quality_rules(docs, keep_text=False).drop("lang")
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
@@ -103,4 +104,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_html_text": op10_html_text,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = sql.oracle(URL_RULES)
