@@ -1,7 +1,7 @@
 """Streams: bar ingest, stateful recursions with the batch step functions, and the live ledger.
 
-Each step object of the kernels (EWMA, EWM moments, GARCH, Kalman, hysteresis, Hedge) is
-pickled into the state of its key, so a stream gives what the batch gives."""
+The fields of each step object of the kernels (EWMA, EWM moments, Kalman, hysteresis,
+Hedge) are the state of its key, so a stream gives what the batch gives."""
 
 from __future__ import annotations
 
@@ -31,10 +31,12 @@ def stateful(x: DataFrame, make: Callable[[], object], step: Callable[[object, p
     The schema is that of the returned tuples; key and date are put in front."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        obj = pickle.loads(state.get[0]) if state.exists else make()
+        obj = make()
+        if state.exists:
+            vars(obj).update(pickle.loads(state.get[0]))
         rows = pd.concat(list(batches)).sort_values("date", kind="stable")
         out = [(k[0], r["date"], *step(obj, r)) for _, r in rows.iterrows()]
-        state.update((pickle.dumps(obj),))
+        state.update((pickle.dumps(vars(obj)),))
         yield pd.DataFrame(out, columns=names)
 
     kind = f"`{key}` {x.schema[key].dataType.simpleString()}, date timestamp, {schema}"
