@@ -160,7 +160,7 @@ def near_duplicates(
     whole = signed.where("_id is not null and key is not null")
     classes = cut(whole.groupBy("key").agg(F.min(F.struct("_id", "n_shingles", "bands")).alias("r")).select("key", "r.*"))
     members = classes.select(F.col("_id").alias("id"), "n_shingles", F.posexplode("bands").alias("k", "v")).select(
-        "id", "n_shingles", F.xxhash64("k", "v").alias("bucket")
+        "id", "n_shingles", "k", F.xxhash64("k", "v").alias("bucket")
     )
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(shared, "bucket"))
@@ -185,9 +185,9 @@ def near_duplicates(
     edges = cut(_verified(stars, sets, percent))
     comps = cut(components(edges))
     placed = cut(
-        members.select("id", "n_shingles", "bucket")
+        members.select("id", "n_shingles", "k", "bucket")
         .join(comps, "id", "left")
-        .select("id", "n_shingles", "bucket", F.coalesce("component_id", "id").alias("comp"))
+        .select("id", "n_shingles", "k", "bucket", F.coalesce("component_id", "id").alias("comp"))
     )
     # what is left: members of one bucket in different components
     several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
@@ -199,13 +199,17 @@ def near_duplicates(
     # similarity min(c, c') / (n + m - min(c, c')).
     facts = open_.select(F.col("id").alias("_id"), "n_shingles", "comp").distinct()
     flat = sets.join(facts.select("_id"), "_id").mapInPandas(_exploded, f"_id {kind}, h long")
-    few = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
-    rare = cut(flat.join(few, "h").join(facts, "_id"))
-    counted = rare.groupBy(F.col("_id").alias("id")).agg(F.count(F.lit(1)).alias("u"))
-    open_ = open_.join(counted, "id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("u", F.lit(0))).drop("u")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy("df", "h"))
-    first = rare.withColumn("at", place).where(
-        (F.col("at") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100.0) + 1) & (F.col("df") > 1)
+    by_h = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("_id").alias("lo")).where(F.col("df") <= RARE)
+    private = by_h.where("df = 1").groupBy(F.col("lo").alias("_id")).agg(F.count(F.lit(1)).alias("alone"))
+    facts = facts.join(private, "_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    # private shingles come first in the order and meet nothing: they are only counted
+    rare = cut(flat.join(by_h.where("df > 1").select("h", "df"), "h"))
+    shared_rare = rare.groupBy("_id").agg(F.count(F.lit(1)).alias("u"))
+    facts = cut(facts.join(shared_rare, "_id", "left").withColumn("u", F.coalesce("u", F.lit(0)) + F.col("alone")))
+    open_ = open_.join(facts.select(F.col("_id").alias("id"), "u"), "id").withColumn("c", F.col("n_shingles") - F.col("u")).drop("u")
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("df", "h")) + F.col("alone")
+    first = rare.join(facts, "_id").withColumn("at", place).where(
+        F.col("at") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100.0) + 1
     )
     listed = first.select("h", F.col("_id").alias("id"), "comp", "n_shingles")
     met = (
@@ -216,12 +220,15 @@ def near_duplicates(
     reach = lambda c, n, m: 100 * c >= percent * (n + m - c)
     least = open_.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
     open_ = cut(open_.join(least, "bucket").where(reach(F.col("c"), F.col("n_shingles"), F.greatest("least", "c"))).drop("least"))
+    # a pair counts in the first of its common bands alone
+    open_ = cut(open_.join(classes.select(F.col("_id").alias("id"), "bands"), "id"))
     others = open_.select("bucket", F.col("comp").alias("other")).distinct()
     mine = open_.join(others, "bucket").where("comp < other")
-    theirs = open_.select("bucket", F.col("comp").alias("other"), F.col("id").alias("id2"), F.col("n_shingles").alias("m2"), F.col("c").alias("c2"))
+    theirs = open_.select("bucket", F.col("comp").alias("other"), F.col("id").alias("id2"), F.col("n_shingles").alias("m2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"))
+    first_common = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) == F.col("k") + 1
     cross = (
         mine.join(theirs, ["bucket", "other"])
-        .where(reach(F.least("c", "c2"), F.col("n_shingles"), F.col("m2")))
+        .where(reach(F.least("c", "c2"), F.col("n_shingles"), F.col("m2")) & first_common)
         .select(*ordered(F.col("id"), F.col("id2")))
         .unionByName(met)
         .distinct()
