@@ -19,7 +19,7 @@ def digest(prices: DataFrame, by: str = "asset") -> DataFrame:
 
     A row's text is hashed by itself first; the digest is over the row hashes, so what is
     gathered per asset is short."""
-    line = F.concat_ws("|", F.col(by), F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.format_number(F.round("close", 6), "0.000000"))
+    line = F.concat_ws("|", F.col(by), F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.format_string("%.6f", F.round("close", 6)))
     h = prices.select(by, "date", F.substring(F.sha2(line, 256), 1, 16).alias("h"))
     return h.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("date", "h"))), lambda x: x["h"]), ""), 256).alias("d")).select(
         by, F.substring("d", 1, 16).alias("digest")

@@ -48,7 +48,7 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 def write_genesis(bars: DataFrame, path: str) -> DataFrame:
     """Partitioned snapshot and one row of metadata: digest, span, number of assets."""
     bars.write.mode("errorifexists").parquet(f"{path}/bars")
-    line = F.concat_ws("|", "asset", F.date_format("date", "yyyy-MM-dd"), F.format_number("close", "0.000000"))
+    line = F.concat_ws("|", "asset", F.date_format("date", "yyyy-MM-dd"), F.format_string("%.6f", "close"))
     meta = bars.agg(
         F.lower(F.hex(F.bit_xor(F.xxhash64(line)))).alias("close_digest"), F.array(F.min("date"), F.max("date")).alias("span"), F.countDistinct("asset").cast("int").alias("n_tickers")
     )
