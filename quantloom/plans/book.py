@@ -19,6 +19,7 @@ from ..kernels import portfolio as O
 from ..operators import models as X
 from ..operators.risk import exposure_brakes
 from ..operators.signals import combined
+from ..staging import staged
 
 
 @dataclass(frozen=True)
@@ -113,9 +114,10 @@ def overlay(gross: DataFrame, cfg: BookConfig = BookConfig()) -> DataFrame:
 
 def run_book(rets: DataFrame, regimes: DataFrame, cfg: BookConfig = BookConfig(), value: str = "combined") -> dict[str, DataFrame]:
     """Targets, trades, daily weights and the net returns of the walk-forward book; positions earn from the next day."""
+    rets = staged(rets)
     sig = combined(rets, regimes)
-    trades = traded(target_weights(rets, sig, value, cfg), rets, cfg).drop("book")
-    daily = daily_weights(trades, rets)
+    trades = staged(traded(target_weights(rets, sig, value, cfg), rets, cfg).drop("book"))
+    daily = staged(daily_weights(trades, rets))
     gross = daily.groupBy("date").agg(F.sum(F.col("weight") * (F.exp("r") - 1)).alias("r")).withColumn("u", F.lit("book"))
     o = overlay(gross, cfg).join(costs(trades, rets, cfg), "date", "left").na.fill(0.0, ["cost", "turnover"])
     fin = F.greatest(F.col("exposure") - 1, F.lit(0.0)) * (cfg.financing / 252)
@@ -125,7 +127,8 @@ def run_book(rets: DataFrame, regimes: DataFrame, cfg: BookConfig = BookConfig()
 
 def sleeves(rets: DataFrame, regimes: DataFrame, cfg: BookConfig = BookConfig()) -> DataFrame:
     """date, expert, r: books of the single signals without band and overlay."""
-    sig = combined(rets, regimes)
+    rets = staged(rets)
+    sig = staged(combined(rets, regimes))
     out = None
     for s in ("momentum", "mean_reversion", "low_vol"):
         t = traded(target_weights(rets, sig, s, cfg), rets, cfg, banded=False)
