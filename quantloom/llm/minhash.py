@@ -117,10 +117,10 @@ def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_id": np.repeat(pdf["_id"].to_numpy(), [len(x) for x in h]), "h": np.concatenate(h)})
 
 
-def _linked(percent: int):
+def _overlaps(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = []
+            shared, good = [], []
             last, kept = None, None
             for a, x, y in zip(pdf["a"], pdf["sa"], pdf["sb"], strict=True):
                 if last != a:
@@ -129,18 +129,19 @@ def _linked(percent: int):
                 at = np.searchsorted(kept, other)
                 at[at == len(kept)] = 0
                 both = int((kept[at] == other).sum())
+                shared.append(both)
                 good.append(100 * both >= percent * (len(kept) + len(other) - both))
-            yield pdf.loc[good, ["a", "b"]]
+            yield pdf[["a", "b"]].assign(both=np.array(shared, np.int64), linked=np.array(good, bool))
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b").join(
         sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a"
     )
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.select("a", "b", "sa", "sb").mapInPandas(_linked(percent), f"a {kind}, b {kind}")
+    return joined.select("a", "b", "sa", "sb").mapInPandas(_overlaps(percent), f"a {kind}, b {kind}, both long, linked boolean")
 
 
 def near_duplicates(
@@ -173,8 +174,9 @@ def near_duplicates(
     )
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    centres = cut(centres)
     stars = cut(
-        members.join(cut(centres), "bucket")
+        members.join(centres, "bucket")
         .select("id", "n_shingles", F.explode(F.array("c0", "c1")).alias("c"))
         .where((F.col("id") != F.col("c.id")) & fits(F.col("n_shingles"), F.col("c.m")))
         .select(*ordered(F.col("id"), F.col("c.id")))
@@ -182,7 +184,8 @@ def near_duplicates(
     )
     ids = members.select(F.col("id").alias("_id")).distinct()
     sets = cut(body.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).mapInPandas(_sets(n), f"_id {kind}, s binary"))
-    edges = cut(_verified(stars, sets, percent))
+    compared = cut(_compared(stars, sets, percent))
+    edges = compared.where("linked").select("a", "b")
     comps = cut(components(edges))
     placed = cut(
         members.select("id", "n_shingles", "k", "bucket")
@@ -196,7 +199,10 @@ def near_duplicates(
     # two similar sets have one in common. If it is rare, the inverted lists of rare shingles
     # find the pair; lists have RARE entries at most. Else all rare shingles of both stand
     # before it and, with c shingles left of n, a pair without a common rare one has at most
-    # similarity min(c, c') / (n + m - min(c, c')).
+    # similarity min(c, c') / (n + m - min(c, c')). A second bound on what they share comes
+    # from the bucket's second centre b: of b's shingles min(o, o') at most, o being the
+    # overlap with b; of others, all frequent, min(f, f') at most, f being c less the
+    # frequent part of o, which is o less b's rare shingles at least.
     facts = open_.select(F.col("id").alias("_id"), "n_shingles", "comp").distinct()
     flat = sets.join(facts.select("_id"), "_id").mapInPandas(_exploded, f"_id {kind}, h long")
     by_h = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("_id").alias("lo")).where(F.col("df") <= RARE)
@@ -207,6 +213,17 @@ def near_duplicates(
     shared_rare = rare.groupBy("_id").agg(F.count(F.lit(1)).alias("u"))
     facts = cut(facts.join(shared_rare, "_id", "left").withColumn("u", F.coalesce("u", F.lit(0)) + F.col("alone")))
     open_ = open_.join(facts.select(F.col("_id").alias("id"), "u"), "id").withColumn("c", F.col("n_shingles") - F.col("u")).drop("u")
+    base = centres.select("bucket", F.col("c1.id").alias("b0"), F.col("c1.m").alias("m0"))
+    base = base.join(facts.select(F.col("_id").alias("b0"), F.col("u").alias("u0")), "b0")
+    overlap = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "both")
+    open_ = (
+        open_.join(base, "bucket", "left")
+        .join(overlap, (F.least("id", "b0") == F.col("x")) & (F.greatest("id", "b0") == F.col("y")), "left")
+        .withColumn("o", F.when(F.col("id") == F.col("b0"), F.col("n_shingles")).otherwise(F.col("both")))
+        .withColumn("f", F.coalesce(F.col("c") - F.greatest(F.col("o") - F.col("u0"), F.lit(0)), "c"))
+        .withColumn("o", F.coalesce("o", F.least("n_shingles", "m0"), "n_shingles"))
+        .drop("b0", "m0", "u0", "x", "y", "both")
+    )
     place = F.row_number().over(Window.partitionBy("_id").orderBy("df", "h")) + F.col("alone")
     first = rare.join(facts, "_id").withColumn("at", place).where(
         F.col("at") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100.0) + 1
@@ -222,19 +239,27 @@ def near_duplicates(
     open_ = cut(open_.join(least, "bucket").where(reach(F.col("c"), F.col("n_shingles"), F.greatest("least", "c"))).drop("least"))
     # a pair counts in the first of its common bands alone
     open_ = cut(open_.join(classes.select(F.col("_id").alias("id"), "bands"), "id"))
-    others = open_.select("bucket", F.col("comp").alias("other")).distinct()
-    mine = open_.join(others, "bucket").where("comp < other")
-    theirs = open_.select("bucket", F.col("comp").alias("other"), F.col("id").alias("id2"), F.col("n_shingles").alias("m2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"))
+    most = lambda c, o, f: F.least(F.least("c", c), F.least("o", o) + F.least("f", f))
+    others = open_.groupBy("bucket", F.col("comp").alias("other")).agg(
+        F.max("c").alias("c_"), F.max("o").alias("o_"), F.max("f").alias("f_"), F.min("n_shingles").alias("n_")
+    )
+    mine = (
+        open_.join(others, "bucket")
+        .where((F.col("comp") < F.col("other")) & reach(most("c_", "o_", "f_"), F.col("n_shingles"), F.col("n_")))
+        .drop("c_", "o_", "f_", "n_")
+    )
+    renamed = {"comp": "other", "id": "id2", "n_shingles": "m2", "c": "c2", "o": "o2", "f": "f2", "bands": "bands2"}
+    theirs = open_.select("bucket", *[F.col(c).alias(d) for c, d in renamed.items()])
     first_common = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) == F.col("k") + 1
     cross = (
         mine.join(theirs, ["bucket", "other"])
-        .where(reach(F.least("c", "c2"), F.col("n_shingles"), F.col("m2")) & first_common)
+        .where(reach(most("c2", "o2", "f2"), F.col("n_shingles"), F.col("m2")) & first_common)
         .select(*ordered(F.col("id"), F.col("id2")))
         .unionByName(met)
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = cut(_verified(cross, sets, percent))
+    more = cut(_compared(cross, sets, percent).where("linked").select("a", "b"))
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     comps = cut(comps)
