@@ -1,17 +1,18 @@
-"""Line dedup by content-defined chunks of lines.
-
-A document's lines are cut into chunks at content-defined boundaries: rolling hashes over
-the line hashes, one that looks back over the line before a gap and one that looks ahead
-over the line behind it, open a boundary where they hit one of ``divisor`` residues. Both
-see the lines next to the gap alone, so a passage is cut alike wherever it stands. As a
-single chunking would miss what lies between a passage's edge and its first boundary,
-``phases`` chunkings with independent seeds are made. A chunk counts if it has two lines
-with words and ``min_words`` words, or a line of ``long_line`` words by itself (which is
-always a chunk of its own). Of chunks with equal hashes over the whole corpus, the first
+"""Line dedup by content-defined windows of lines.
+
+From every line with words the shortest window ahead that counts is taken, and to every
+such line the shortest window behind: where a window ends is decided by the lines inside
+it alone, so a passage gives the same windows wherever it stands. A window counts if it
+has two lines with words and ``min_words`` words, or ``long_line`` words. Blank lines
+inside a window belong to it; where blank lines stand before or behind it, it is taken
+with them, too. So each line of a run that counts lies in a window of that run: ahead of
+it if what follows it in the run counts, else in the window behind the run's last line.
+Every repeated run that counts is found whole, whatever the lengths of its lines and
+whatever stands around it. Of windows with equal hashes over the whole corpus, the first
 (by document id, then line) stays; the lines of every other one are compared byte for
 byte with the lines of the first and removed where they are equal.
 
-Built-in functions only. Chunks leave the scan as keys of a few bytes, without text; they
+Built-in functions only. Windows leave the scan as keys of a few bytes, without text; they
 are counted with a combine before the shuffle. Texts are shuffled by document id, and
 only repeated lines are shuffled for the comparison, in a join that skew handling splits.
 
@@ -34,60 +35,60 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _chunks_of(lines: Column, phases: int, divisor: int, min_words: int, long_line: int) -> Column:
-    """Array of structs hash, start, n: the chunks of all phases that count."""
+def _windows_of(lines: Column, min_words: int, long_line: int) -> Column:
+    """Array of structs hash, start, n: the windows that count."""
+    most = max(2, min_words)  # lines with words in a window: each has a word at least
+    enough = lambda n, w: ((n >= 2) & (w >= min_words)) | (w >= long_line)
     facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(words(x)).alias("w")))
 
-    def chunked(f: Column) -> Column:
-        def of_phase(phase: int) -> Column:
-            hits = lambda x, way: F.pmod(F.xxhash64(x["h"], F.lit(2 * phase + way)), F.lit(divisor)) == 0
-            is_long = lambda x: x["w"] >= long_line
+    def reach(near: Column) -> Column:
+        """How many of the lines, from the first on, make a window; null if all do not."""
+        grow = lambda a, y: F.when(enough(a["n"], a["w"]), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["w"] + y["w"]).alias("w")))
+        return F.aggregate(near, F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")), grow, lambda a: F.when(enough(a["n"], a["w"]), a["n"]))
 
-            def ends(x: Column, i: Column) -> Column:
-                after = F.get(f, i + 1)
-                return after.isNull() | is_long(x) | is_long(after) | hits(x, 0) | hits(after, 1)
+    def windows(f: Column) -> Column:
+        full = F.filter(F.transform(f, lambda x, i: F.struct(i.alias("i"), x["w"].alias("w"))), lambda x: x["w"] > 0)
 
-            flags = F.filter(F.transform(f, lambda x, i: F.when(ends(x, i), i + 1)), lambda e: e.isNotNull())
+        def of_full(g: Column) -> Column:
+            key = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
+            ahead = F.transform(g, lambda x, k: key(k, k + reach(F.slice(g, k + 1, most)) - 1))
 
-            def pieces(e: Column) -> Column:
-                def piece(end: Column, k: Column) -> Column:
-                    start = F.coalesce(F.get(e, k - 1), F.lit(0))
-                    inside = F.slice(f, start + 1, end - start)
-                    return let(
-                        inside,
-                        lambda x: F.struct(
-                            F.aggregate(x, F.lit(0).cast("long"), lambda a, y: F.xxhash64(a, y["h"])).alias("hash"),
-                            start.alias("start"),
-                            (end - start).alias("n"),
-                            F.size(F.filter(x, lambda y: y["w"] > 0)).alias("full"),
-                            F.aggregate(x, F.lit(0), lambda a, y: a + y["w"]).alias("w"),
-                        ),
-                    )
+            def behind(x: Column, k: Column) -> Column:
+                low = F.greatest(k - most + 1, F.lit(0))
+                return key(k - reach(F.reverse(F.slice(g, low + 1, k - low + 1))) + 1, k)
 
-                return F.transform(e, piece)
+            both = F.array_distinct(F.filter(F.concat(ahead, F.transform(g, behind)), lambda e: e.isNotNull()))
 
-            return let(flags, pieces)
+            def ranges(e: Column) -> Column:
+                k, m = F.shiftright(e, 32).cast("int"), e.bitwiseAND(0xFFFFFFFF).cast("int")
+                a, b = F.get(g, k)["i"], F.get(g, m)["i"]
+                lead = F.coalesce(F.get(g, k - 1)["i"] + 1, F.lit(0))
+                trail = F.coalesce(F.get(g, m + 1)["i"], F.size(f)) - 1
+                of = lambda start, end: F.struct(start.alias("start"), (end - start + 1).alias("n"))
+                return F.array(of(a, b), F.when(lead < a, of(lead, b)), F.when(trail > b, of(a, trail)))
 
-        every = F.flatten(F.array(*[of_phase(k) for k in range(phases)]))
-        good = F.filter(every, lambda c: ((c["full"] >= 2) & (c["w"] >= min_words)) | (c["w"] >= long_line))
-        return F.array_distinct(F.transform(good, lambda c: F.struct(c["hash"].alias("hash"), c["start"].alias("start"), c["n"].alias("n"))))
+            return F.filter(F.flatten(F.transform(both, ranges)), lambda r: r.isNotNull())
 
-    return let(facts, chunked)
+        def hashed(r: Column) -> Column:
+            inside = F.slice(f, r["start"] + 1, r["n"])
+            return F.struct(F.aggregate(inside, F.lit(0).cast("long"), lambda a, y: F.xxhash64(a, y["h"])).alias("hash"), r["start"].alias("start"), r["n"].alias("n"))
+
+        return F.transform(let(full, of_full), hashed)
+
+    return let(facts, windows)
 
 
 def dedup_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    phases: int = 8,
-    divisor: int = 3,
     min_words: int = 15,
     long_line: int = 50,
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_removed_lines``."""
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
     chunks = body.select(
-        "_id", F.explode(let(_lines(F.col("_text")), lambda x: _chunks_of(x, phases, divisor, min_words, long_line))).alias("c")
+        "_id", F.explode(let(_lines(F.col("_text")), lambda x: _windows_of(x, min_words, long_line))).alias("c")
     ).select("_id", "c.*")
     repeated = (
         chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "start")).alias("first")).where("times > 1")

@@ -248,6 +248,25 @@ def test_line_dedup_copies_and_hard_rows(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def _lines_of_sizes(seed):
+    """Makes lines of so many words that no other line has."""
+    rng = np.random.default_rng(seed)
+    return lambda *sizes: [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)) for n in sizes]
+
+
+def test_line_dedup_copies_with_mixed_line_lengths(spark):
+    made = _lines_of_sizes(5)
+    copied = ["\n".join(made(*sizes)) for sizes in ((4, 47, 75, 43, 95, 11, 49, 130), (60, 1, 70, 20, 80), (30, 60, 14), (90, 12), (3, 52, 3))]
+    copied += ["\n" + "\n\n".join(made(60, 2, 70, 55, 55)) + "\n\n", "\n".join(made(*[1] * 14, 51, *[1] * 14))]
+    kept = "\n".join(made(5, 60, 7))
+    rows = [(k, t, "en", "a") for k, t in enumerate(copied)] + [(100 + k, t, "en", "a") for k, t in enumerate(copied)] + [(200, kept, "en", "a")]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    for k, t in enumerate(copied):
+        assert got[k]["text"] == t
+        assert got[100 + k]["text"] == "" and got[100 + k]["n_removed_lines"] == t.count("\n") + 1, (k, got[100 + k]["text"])
+    assert got[200]["text"] == kept
+
+
 # ---- MinHash
 
 
