@@ -267,6 +267,17 @@ def test_line_dedup_copies_with_mixed_line_lengths(spark):
     assert got[200]["text"] == kept
 
 
+def test_line_dedup_short_passages_in_other_surroundings(spark):
+    made = _lines_of_sizes(6)
+    passages = [made(*sizes) for sizes in [(30, 25)] * 12 + [(8, 7)] * 6 + [(20, 20, 15)] * 6]
+    around = lambda k, p: "\n".join([*made(9, 12), *p, *made(11, 8)])
+    rows = [(100 * n + k, around(k, p), "en", "a") for n in (0, 1) for k, p in enumerate(passages)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    for k, p in enumerate(passages):
+        assert got[k] == rows[k][1].split("\n")
+        assert got[100 + k] == [x for x in rows[len(passages) + k][1].split("\n") if x not in p], k
+
+
 # ---- MinHash
 
 
