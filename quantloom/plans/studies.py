@@ -104,14 +104,14 @@ def variant_family(sleeves: DataFrame, targets=(0.08, 0.10, 0.13, 0.16), steps:
     return y.select("t", F.concat_ws("@", "blend", F.col("target").cast("string")).alias("variant"), "r")
 
 
-def khallucination(spark, seeds: int = 2, rows: int = 1200, ks=(2, 3, 4)) -> DataFrame:
+def khallucination(spark, seeds: int = 8, rows: int = 3000, ks=(2, 3, 4, 5)) -> DataFrame:
     """Held-out log score by number of states, in Gaussian and fat-tailed worlds, by family; a cell is one group."""
     cells = [(i, *c) for i, c in enumerate((w, s, f, k) for w in ("gauss", "t5") for s in range(seeds) for f in ("gaussian", "student") for k in ks)]
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         c = p.iloc[0]
         x, _ = W.hmm_features(rows, np.inf if c["world"] == "gauss" else 5.0, W.rng_of(int(c["seed"])))
-        m = H.HMM(k=int(c["k"]), student=c["family"] == "student", iters=60).fit(x[: rows * 2 // 3], restarts=1)
+        m = H.HMM(k=int(c["k"]), student=c["family"] == "student", iters=120).fit(x[: rows * 2 // 3], restarts=2)
         sub = m.sub_filtered(x)
         s = m.predictive_logpdf(m.next_weights(sub[rows * 2 // 3 - 1 : -1]), x[rows * 2 // 3 :, 0])
         return pd.DataFrame({"world": [c["world"]], "family": [c["family"]], "k": [int(c["k"])], "score": [float(s.mean())]})
@@ -264,7 +264,7 @@ def arrow(s, d):
 
 
 def _agents(s, configs, **kw):
-    return X.majority_scores(X.agent_batteries(s, seeds=2, rows=2000, configs={k: W.CONFIGS[k] for k in configs}, draws=30, **kw))
+    return X.majority_scores(X.agent_batteries(s, configs={k: W.CONFIGS[k] for k in configs}, **kw))
 
 
 @study
@@ -279,13 +279,13 @@ def decathlon2(s, d):
     return _agents(s, ("FCVM", "FCVMA"))
 
 
-def _paired(s, name: str, **change) -> DataFrame:
+def _paired(s, name: str, pairs: int = 32, rows: int = 6000, draws: int = 120, **change) -> DataFrame:
     """Scores of a change against its control on the same seeds, with sign counts; a seed is one group."""
-    seeds = [(k, 500 + k) for k in range(6)]
+    seeds = [(k, 100 + k) for k in range(pairs)]
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         sd = int(p["seed"].iloc[0])
-        a, b = (W.battery(W.agent_market("FCVMA", [sd], 1500, **kw)[0], sd, 20)["score"] for kw in ({}, change))
+        a, b = (W.battery(W.agent_market("FCVMA", [sd], rows, **kw)[0], sd, draws)["score"] for kw in ({}, change))
         return pd.DataFrame({"seed": [sd], "control": [a], "changed": [b]})
 
     x = X.grid(s, seeds, "cell int, seed int", fn, "seed int, control double, changed double")
@@ -314,7 +314,7 @@ def battery_audit(s, d):
 @study
 def score_se(s, d):
     """Spread of scores over seeds."""
-    b = X.agent_batteries(s, seeds=4, rows=1500, configs={"FCVM": "FCVM", "G": ""}, draws=20)
+    b = X.agent_batteries(s)
     return b.groupBy("config").agg(F.avg("score").alias("score"), (F.stddev_samp("score") / F.sqrt(F.count(F.lit(1)))).alias("se"))
 
 

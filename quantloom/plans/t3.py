@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import panels as P
-from ..kernels import worlds as W
 from ..operators import events as E
 from ..operators import inference as I
 from ..operators import laws as L
@@ -236,7 +235,7 @@ def _coded(s, d):
 @query
 def permutation_mi(s, d):
     """Mutual information against its permutation null."""
-    return B.permutation_mi(_coded(s, d), "full", "next", draws=60)
+    return B.permutation_mi(_coded(s, d), "full", "next")
 
 
 @query
@@ -248,7 +247,7 @@ def direction_bits(s, d):
 @query
 def harvest_gap(s, d):
     """Bits beyond the harvested features."""
-    return B.harvest_gap(_coded(s, d), "full", "part", "next", draws=40)
+    return B.harvest_gap(_coded(s, d), "full", "part", "next", draws=300)
 
 
 @query
@@ -295,7 +294,7 @@ def variance_ratio(s, d):
 @query
 def agent_battery(s, d):
     """Stylised-fact scores of agent markets by majority of seeds."""
-    return X.majority_scores(X.agent_batteries(s, seeds=3, rows=2500, configs={k: W.CONFIGS[k] for k in ("G", "F", "FCVM", "FCVMH")}, draws=40))
+    return X.majority_scores(X.agent_batteries(s))
 
 
 @query
