@@ -23,7 +23,7 @@ from ..operators import pairs as Q
 from ..operators import resample as B
 from ..operators import volatility as V
 from . import book, t3
-from .t1 import _gk, _gr, _mkt, _regs, _rets
+from .t1 import _gk, _gr, _mkt, _rets
 
 STUDIES: dict = {}
 CFG = book.BookConfig(every=63)
@@ -185,10 +185,11 @@ def cvar(s, d):
 @study
 def ensemble(s, d):
     """Equal blend, gates and multiplicative weights over the sleeves."""
-    sl = book.sleeves(_rets(s, d), _regs(s, d), CFG)
+    regs = t3._book_regs(s, d)
+    sl = book.sleeves(_rets(s, d), regs, CFG)
     gates = {0: {"momentum": 0.6, "mean_reversion": 0.2, "low_vol": 0.2}, 1: {"momentum": 0.3, "mean_reversion": 0.4, "low_vol": 0.3}, 2: {"momentum": 0.1, "mean_reversion": 0.3, "low_vol": 0.6}}
     rows = sl.groupBy("date").agg(F.avg("r").alias("r")).withColumn("asset", F.lit("equal"))
-    rows = rows.unionByName(book.gates_blend(sl, _regs(s, d), gates).withColumn("asset", F.lit("gates")))
+    rows = rows.unionByName(book.gates_blend(sl, regs, gates).withColumn("asset", F.lit("gates")))
     for name, share in (("hedge", 0.0), ("fixed_share", 0.005)):
         rows = rows.unionByName(X.hedge_weights(sl, share=share).select("date", "r", F.lit(name).alias("asset")))
     return M.summary(rows)
@@ -197,13 +198,13 @@ def ensemble(s, d):
 @study
 def forensics(s, d):
     """Probability of overfitting on the variant family."""
-    return I.cscv_pbo(variant_family(book.sleeves(_rets(s, d), _regs(s, d), CFG)), 8)
+    return I.cscv_pbo(variant_family(book.sleeves(_rets(s, d), t3._book_regs(s, d), CFG)), 8)
 
 
 @study
 def synthesis(s, d):
     """The book, gross and net, beside the market."""
-    n = book.run_book(_rets(s, d), _regs(s, d), CFG)["net"]
+    n = book.run_book(_rets(s, d), t3._book_regs(s, d), CFG)["net"]
     rows = n.select("date", F.col("net").alias("r"), F.lit("net").alias("asset")).unionByName(n.select("date", F.col("gross").alias("r"), F.lit("gross").alias("asset")))
     return M.summary(rows.unionByName(_mkt(s, d).select("date", "r", F.lit("market").alias("asset"))))
 

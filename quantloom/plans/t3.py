@@ -15,9 +15,10 @@ from ..operators import models as X
 from ..operators import pairs as Q
 from ..operators import resample as B
 from ..operators import volatility as V
+from ..staging import staged
 from ..streaming import live
 from . import book
-from .t1 import _gk, _gr, _mkt, _regs, _rets, rnd
+from .t1 import _gk, _gr, _mkt, _rets, rnd
 
 QUERIES: dict = {}
 
@@ -197,16 +198,23 @@ def statarb_sleeve(s, d):
 _CFG = book.BookConfig(every=63)
 
 
+def _book_regs(s, d):
+    """u, date, regime: walk-forward Gaussian regimes of the market; the middle one before the first fit, as in the reference."""
+    m, got = _mkt(s, d), X.regimes(_feats(s, d), "gaussian").select("date", "regime")
+    known = F.when(F.col("regime") >= 0, F.col("regime")).otherwise(F.lit(1))
+    return staged(m.join(got, "date", "left").select("u", "date", known.alias("regime")))
+
+
 @query
 def core_book(s, d):
     """Net returns of the walk-forward book with overlay, costs and financing."""
-    return book.run_book(_rets(s, d), _regs(s, d), _CFG)["net"]
+    return book.run_book(_rets(s, d), _book_regs(s, d), _CFG)["net"]
 
 
 @query
 def signal_sleeves(s, d):
     """Returns of the single-signal books."""
-    return book.sleeves(_rets(s, d), _regs(s, d), _CFG)
+    return book.sleeves(_rets(s, d), _book_regs(s, d), _CFG)
 
 
 @query
