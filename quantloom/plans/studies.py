@@ -26,7 +26,7 @@ from . import book, t3
 from .t1 import _gk, _gr, _mkt, _rets
 
 STUDIES: dict = {}
-CFG = book.BookConfig(every=63)
+CFG = book.BookConfig()
 
 
 def study(f):
@@ -174,7 +174,7 @@ def statarb(s, d):
 def cvar(s, d):
     """Books of HRP and least-CVaR weights."""
     r, out = _rets(s, d), None
-    win = X.rebalance_windows(r, 252, 126)
+    win = X.rebalance_windows(r, 252)
     for m in ("hrp", "cvar"):
         t = book.traded(X.portfolio_weights(win, m), r, CFG)
         one = book.daily_weights(t, r).groupBy("date").agg(F.sum(F.col("weight") * (F.exp("r") - 1)).alias("r")).withColumn("asset", F.lit(m))

@@ -35,35 +35,35 @@ def _feats(s, d):
 @query
 def hmm_regimes(s, d):
     """Walk-forward Gaussian regimes of the market."""
-    return X.regimes(_feats(s, d), "gaussian", every=126)
+    return X.regimes(_feats(s, d), "gaussian")
 
 
 @query
 def thmm_regimes(s, d):
     """Walk-forward Student-t regimes of the market."""
-    return X.regimes(_feats(s, d), "student", every=126)
+    return X.regimes(_feats(s, d), "student")
 
 
 @query
 def dhmm_regimes(s, d):
     """Walk-forward duration regimes of the market."""
-    return X.regimes(_feats(s, d), "duration", every=252)
+    return X.regimes(_feats(s, d), "duration")
 
 
 @query
 def jump_regimes(s, d):
     """Walk-forward jump-model states of the market."""
-    return X.jump_regimes(_feats(s, d), every=126)
+    return X.jump_regimes(_feats(s, d))
 
 
 @query
 def regime_horserace(s, d):
     """Mean predictive log score of the engines."""
-    return X.horserace(_feats(s, d), every=252)
+    return X.horserace(_feats(s, d), every=21)
 
 
 def _variances(s, d):
-    return X.variance_forecasts(_gr(s, d), every=252)
+    return X.variance_forecasts(_gr(s, d), every=21)
 
 
 @query
@@ -126,7 +126,7 @@ def student_t_tails(s, d):
 
 
 def _windows(s, d):
-    return X.rebalance_windows(_rets(s, d), 252, 63)
+    return X.rebalance_windows(_rets(s, d), 252)
 
 
 @query
@@ -163,7 +163,7 @@ def eigen_spectrum(s, d):
 @query
 def minvar_bakeoff(s, d):
     """Realised volatility by covariance estimator."""
-    return X.estimator_bakeoff(_rets(s, d), 252, 63)
+    return X.estimator_bakeoff(_rets(s, d), 252)
 
 
 @query
@@ -195,7 +195,7 @@ def statarb_sleeve(s, d):
     return book.statarb_sleeve(X.ou_signals(_windows(s, d)), _rets(s, d))
 
 
-_CFG = book.BookConfig(every=63)
+_CFG = book.BookConfig()
 
 
 def _book_regs(s, d):
