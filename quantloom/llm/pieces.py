@@ -5,8 +5,8 @@ and kinds, the trainer's model type and byte fallback, the normaliser's characte
 white-space flags. From these a tokenizer is rebuilt: the normaliser, the metaspace
 marker, the unigram scores (or, for a BPE model, the merges that the scores imply) and
 byte fallback. Batches are encoded by several threads. Parity with the model's meaning is
-verified on a probe set when a worker loads the model, where the sentencepiece library is
-installed, and in the tests.
+verified against the sentencepiece library, which is required, on a probe set when a
+worker loads the model, and in the tests.
 
 The model travels to the executors as bytes with the task; no file is opened there.
 
@@ -26,17 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame
 
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from .common import small_batches
 
-try:
-    import sentencepiece
-except ImportError:  # the parity check is left to the tests then
-    sentencepiece = None
-
 META = "▁"
 #: Kinds of pieces and model types (fixed values of the model format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -231,7 +227,7 @@ def load(data: bytes, threads: int = 2, verify: bool = True) -> Codec:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         made = Codec(data)
-        if verify and sentencepiece is not None:
+        if verify:
             truth = sentencepiece.SentencePieceProcessor(model_proto=data)
             for probe, packed in zip(PROBES, made.encode(list(PROBES)), strict=True):
                 want = truth.encode(probe)
