@@ -95,24 +95,35 @@ def _rows(table: np.ndarray):
 
 def _logistic(at: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio, by accelerated gradient steps."""
-    lengths = np.array([len(a) for a in at])
-    flat = np.concatenate(at) if lengths.sum() else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(at), dtype=np.int32), lengths)
-    x = ratios[flat]
     k, n = len(ratios), len(y)
+    blocks = []  # rows in blocks: what is computed per entry lives for one block only
+    for low in range(0, n, 512):
+        part = at[low : low + 512]
+        blocks.append((slice(low, low + len(part)), np.concatenate(part), np.array([len(a) for a in part])))
+
+    def ahead(v: np.ndarray) -> np.ndarray:
+        xv = ratios * v
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(m)), m), xv[flat], len(m)) for _, flat, m in blocks])
+
+    def back(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        for rows, flat, m in blocks:
+            out += np.bincount(flat, np.repeat(e[rows], m), k)
+        return out * ratios
+
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
     # Lipschitz constant of the gradient by power iteration
     v = np.ones(k) / np.sqrt(k)
     for _ in range(12):
-        u = np.bincount(flat, np.bincount(row, x * v[flat], n)[row] * x, k)
+        u = back(ahead(v))
         size = np.linalg.norm(u) or 1.0
         v = u / size
     step = 1 / (0.25 * 1.1 * (size + n) / n + penalty)
     wy, by, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(by + np.bincount(row, x * wy[flat], n))))
+        p = 1 / (1 + np.exp(-(by + ahead(wy))))
         e = (p - y) / n
-        w2, b2 = wy - step * (np.bincount(flat, e[row] * x, k) + penalty * wy), by - step * e.sum()
+        w2, b2 = wy - step * (back(e) + penalty * wy), by - step * e.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wy, by = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
@@ -125,12 +136,12 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 16_000,
+    max_rows: int = 20_000,
     min_share: float = 0.003,
-    features: int = 4_000,
+    features: int = 20_000,
     alpha: float = 1.0,
     penalty: float = 1e-4,
-    rounds: int = 250,
+    rounds: int = 400,
 ) -> Classifier:
     """Fit on labelled rows that are not held out."""
     small_batches(docs.sparkSession)
