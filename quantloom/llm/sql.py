@@ -42,15 +42,20 @@ def _op6(rules: dict[str, str], order: int = 4, mass: float = 2.0, alphabet: int
         good = f"((t{k}.a + {mass} * {good}) / (c{k}.a + {mass}))"
         bad = f"((t{k}.b + {mass} * {bad}) / (c{k}.b + {mass}))"
     return f"""
-with p0 as (select page_id, coalesce(url, '') as u, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') as host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) as path from pages),
+with r0 as (select page_id, coalesce(url, '') as u, instr(coalesce(url, ''), '://') as mark from pages),
+r1 as (select page_id, u, case when mark > 0 then split_part(split_part(substr(u, mark + 3), '?', 1), '#', 1) else '' end as b from r0),
+p0 as (select page_id, u, translate(split_part(b, '/', 1), '{upper}', '{lower}') as host, substr(b, length(split_part(b, '/', 1)) + 1) as path from r1),
 p1 as (select *, case {" ".join(fits)} end as rule from p0), p2 as (select *, case {said} end as said from p1),
-us as (select u, count(*) filter (said = 'allow') as n_good, count(*) filter (said = 'block') as n_bad from p2 group by 1),
-fl as (select u, n_good, n_bad, substr(repeat(chr(2), {order}) || u, i::int, {order + 1}) as g from us, range(1, 100000) t(i) where i <= length(u)),
-gr as (select g, sum(n_good)::double as n_good, sum(n_bad)::double as n_bad from fl group by 1), {", ".join(parts)},
+us as (select u, md5(u) < '4' as held, count(*) filter (said = 'allow') as n_good, count(*) filter (said = 'block') as n_bad from p2 group by 1),
+fl as (select u, held, n_good, n_bad, substr(repeat(chr(2), {order}) || u, i::int, {order + 1}) as g from us, lateral (select unnest(range(1, length(u) + 1)) as i)),
+gr as (select g, coalesce(sum(n_good) filter (not held), 0)::double as n_good, coalesce(sum(n_bad) filter (not held), 0)::double as n_bad from fl group by 1), {", ".join(parts)},
 sc as (select g, ln({good}) - ln({bad}) as s from gr{joins}),
-sd as (select u, n_good, n_bad, round(sum(s) / count(*), 6) as score from fl join sc using (g) group by 1, 2, 3),
-lim as (select round((sum(n_good * score) / nullif(sum(n_good), 0) + sum(n_bad * score) / nullif(sum(n_bad), 0)) / 2, 6) as t from sd)
+sd as (select u, held, n_good, n_bad, round(sum(s) / count(*), 6) as score from fl join sc using (g) group by 1, 2, 3, 4),
+w0 as (select coalesce(sum(n_good) filter (held), 0) > 0 and coalesce(sum(n_bad) filter (held), 0) > 0 as both from sd),
+w1 as (select floor(score * 100) as k, sum(n_good) as good, sum(n_bad) as bad from sd, w0 where n_good + n_bad > 0 and (held or not both) group by 1),
+w2 as (select k, coalesce(lag(k) over (order by k) + 1, k) as low, sum(good) over () as g, sum(bad) over () as b, coalesce(sum(good) over (order by k rows between unbounded preceding and 1 preceding), 0) as lg,
+  coalesce(sum(bad) over (order by k rows between unbounded preceding and 1 preceding), 0) as lb from w1),
+lim as (select (low + k) / 200 as t from w2 where g > 0 and b > 0 order by lb * g - lg * b desc, k limit 1)
 select page_id, host, path, rule, coalesce(said, case when (select t from lim) is null then 'allow' when coalesce(score, 0) < (select t from lim) then 'block' else 'allow' end) as verdict
 from p2 left join sd using (u)
 """
@@ -65,7 +70,7 @@ def _op7() -> str:
 with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, {_WORDS.format(t="coalesce(text, '')")} as w, regexp_replace(coalesce(text, ''), '[a-z \n]+', '', 'g') as o from documents),
 b as (select doc_id, lang, t, w, len(w) as n_words, length(array_to_string(w, '')) as word_chars, {classes},
   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines from d),
-g as (select doc_id, i, w[i:i+4] as g from b, range(1, 200000) r(i) where i <= n_words - 4),
+g as (select doc_id, i, w[i:i+4] as g from b, lateral (select unnest(range(1, greatest(n_words - 3, 1))) as i)),
 h as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
 rp as (select doc_id, count(distinct i + k) as n from h, range(5) q(k) group by 1),
 f as (select b.doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rp.n, 0) as n_repeat_words, length(t) - word_chars as space, upper, digit, punct, word_chars - upper - digit - punct - n_symbols as rest from b left join rp using (doc_id)),
@@ -88,7 +93,7 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 
 OP8 = rf"""
 with recursive d as (select doc_id, {_WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
-s as (select distinct doc_id, case when len(w) < 4 then w else w[i:i+3] end as s from d, range(1, 200000) r(i) where len(w) > 0 and i <= greatest(1, len(w) - 3)),
+s as (select distinct doc_id, case when len(w) < 4 then w else w[i:i+3] end as s from d, lateral (select unnest(range(1, greatest(1, len(w) - 3) + 1)) as i) where len(w) > 0),
 n as (select doc_id, count(*) as n from s group by 1),
 x as (select a.doc_id as i, b.doc_id as j, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
 l as (select i, j from x join n p on p.doc_id = i join n q on q.doc_id = j where 100 * c >= 80 * (p.n + q.n - c)), b as (select i, j from l union all select j, i from l),

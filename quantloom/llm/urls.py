@@ -6,11 +6,13 @@ block train two smoothed variable-order Markov models over code points. A contex
 to ``order`` code points gives p_k(c) = (n(context, c) + mass * p_(k-1)(c)) / (n(context)
 + mass), from a uniform p_0 down to the longest context seen. URLs that no rule fits are
 judged by the difference of the two log-likelihoods divided by the length: below the
-threshold they are blocked. The threshold is calibrated: the middle between the mean
-score of the allowed and that of the blocked training URLs.
+threshold they are blocked. The threshold is calibrated on labelled URLs held out of the
+training (a quarter, by the first hex digit of the URL's MD5): the one that parts the two
+verdicts best.
 
 Built-in functions only. Each distinct gram is scored once, and the URLs' grams are
-counted per URL before the join; the score table is broadcast only after its rows have been counted.
+counted per URL before the join; the score table is broadcast only after its rows (of
+bounded size) have been counted.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule
 and is judged by the method; an empty URL scores 0; if rules label no URL as blocked (or
@@ -19,22 +21,33 @@ none as allowed), all URLs without a rule are allowed. Extra columns pass throug
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, lower_ascii
 
-#: Grams to broadcast at most; more are joined by a shuffle.
-BROADCAST_GRAMS = 300_000
+#: Grams to broadcast at most, each a string of five code points (20 bytes at most) and a
+#: double: under 10 MB. More are joined by a shuffle.
+BROADCAST_GRAMS = 100_000
+#: URLs whose MD5 begins with a digit below this one are held out for calibration.
+HELD_BELOW = "4"
+
+
+def _after(url: Column) -> Column:
+    """What follows the first ``://``; empty where there is none."""
+    u = F.coalesce(url, F.lit(""))
+    at = F.locate("://", u)
+    return F.when(at > 0, F.substr(u, at + 3)).otherwise(F.lit(""))
 
 
 def host_of(url: Column) -> Column:
-    after = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return lower_ascii(after)
+    """From the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case."""
+    return lower_ascii(F.regexp_extract(_after(url), r"^[^/?#]*", 0))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """What follows the host up to ``?``, ``#`` or the end."""
+    return F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
@@ -62,25 +75,58 @@ def url_grams(urls: DataFrame, url: Column, order: int) -> DataFrame:
     return urls.withColumn("g", F.explode(grams))
 
 
-def gram_scores(grams: DataFrame, order: int = 4, mass: float = 2.0, alphabet: int = 256) -> DataFrame:
-    """From rows ``g, n_good, n_bad, n`` (distinct grams): ``g`` and ``score``, the log-ratio of the two models."""
-    table = grams
-    p = {"good": F.lit(1.0 / alphabet), "bad": F.lit(1.0 / alphabet)}
-    for k in range(order + 1):
-        tail = grams.select(
-            F.substr("g", F.lit(order + 1 - k), F.lit(k + 1)).alias(f"t{k}"), F.substr("g", F.lit(order + 1 - k), F.lit(k)).alias(f"c{k}"), "n_good", "n_bad"
-        )
-        of_gram = tail.groupBy(f"t{k}").agg(F.sum("n_good").alias(f"gg{k}"), F.sum("n_bad").alias(f"gb{k}"))
-        of_context = tail.groupBy(f"c{k}").agg(F.sum("n_good").alias(f"cg{k}"), F.sum("n_bad").alias(f"cb{k}"))
-        table = (
-            table.withColumn(f"t{k}", F.substr("g", F.lit(order + 1 - k), F.lit(k + 1)))
-            .withColumn(f"c{k}", F.substr("g", F.lit(order + 1 - k), F.lit(k)))
-            .join(of_gram, f"t{k}")
-            .join(of_context, f"c{k}")
-        )
-        for side, c in (("good", "g"), ("bad", "b")):
-            p[side] = (F.col(f"g{c}{k}") + mass * p[side]) / (F.col(f"c{c}{k}") + mass)
-    return table.select("g", (F.log(p["good"]) - F.log(p["bad"])).alias("score"))
+def gram_scores(grams: DataFrame, mass: float = 2.0, alphabet: int = 256, order: int = 4) -> DataFrame:
+    """From rows ``g, n_good, n_bad`` (distinct grams): ``g`` and ``score``, the log-ratio of the two models.
+
+    Level k holds the distinct grams of k + 1 code points, summed from level k + 1; its
+    probabilities follow from its contexts' counts and from level k - 1. So only the
+    longest grams are joined at their full number, by keys of ``order`` code points; the
+    short, frequent contexts are rows of small tables.
+    """
+    levels = [grams.select("g", "n_good", "n_bad")]
+    for _ in range(order):
+        short = levels[0].select(F.expr("substr(g, 2)").alias("g"), "n_good", "n_bad")
+        levels.insert(0, cut(short.groupBy("g").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"))))
+    lower = None
+    for level in levels:
+        here = level.withColumn("c", F.expr("substr(g, 1, length(g) - 1)"))
+        contexts = here.groupBy("c").agg(F.sum("n_good").alias("c_good"), F.sum("n_bad").alias("c_bad"))
+        here = here.join(contexts, "c")
+        if lower is None:
+            here = here.withColumns({"q_good": F.lit(1.0 / alphabet), "q_bad": F.lit(1.0 / alphabet)})
+        else:
+            shorter = lower.select(F.col("g").alias("s"), F.col("p_good").alias("q_good"), F.col("p_bad").alias("q_bad"))
+            here = here.withColumn("s", F.expr("substr(g, 2)")).join(shorter, "s")
+        p = lambda side: (F.col(f"n_{side}") + mass * F.col(f"q_{side}")) / (F.col(f"c_{side}") + mass)
+        lower = here.select("g", p("good").alias("p_good"), p("bad").alias("p_bad"))
+    return lower.select("g", (F.log("p_good") - F.log("p_bad")).alias("score"))
+
+
+def calibrated(scored: DataFrame) -> float | None:
+    """The threshold that parts the held-out URLs of both verdicts best.
+
+    Scores are counted by hundredths. The cut has the largest sum of the share of allowed
+    URLs at or above it and of blocked URLs below it (the lowest of equal ones); the
+    threshold is in the middle of the empty range below the cut.
+    Without held-out URLs of both verdicts all labelled URLs are taken; None without any
+    of one verdict. The histogram that is ordered in one task has a row per hundredth.
+    """
+    bins = scored.where("n_good + n_bad > 0").groupBy(F.floor(F.col("score") * 100).alias("k"), "held").agg(
+        F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad")
+    )
+    totals = {r["held"]: (r["good"], r["bad"]) for r in bins.groupBy("held").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()}
+    if min(totals.get(True, (0, 0))) == 0:
+        bins = bins.groupBy("k").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        good, bad = (sum(x[k] for x in totals.values()) for k in (0, 1))
+    else:
+        bins, (good, bad) = bins.where("held"), totals[True]
+    if not good or not bad:
+        return None
+    below = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    at = bins.select("k", F.coalesce(F.lag("k").over(Window.orderBy("k")) + 1, "k").alias("low"), *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(c) for c in ("good", "bad")])
+    gain = F.col("bad") * F.lit(good) - F.col("good") * F.lit(bad)
+    best = at.orderBy(gain.desc(), "k").first()
+    return (best["low"] + best["k"]) / 200
 
 
 def url_filter(
@@ -96,18 +142,21 @@ def url_filter(
     urls = parts.select(F.coalesce("_url", F.lit("")).alias("u"), said.alias("said")).groupBy("u").agg(
         F.count(F.when(F.col("said") == "allow", 1)).alias("n_good"), F.count(F.when(F.col("said") == "block", 1)).alias("n_bad")
     )
+    # distinct URLs take few bytes but many grams: dealt out by number, not by size
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = cut(urls.withColumn("held", F.substr(F.md5("u"), F.lit(1), F.lit(1)) < HELD_BELOW).repartition(spread, "u"))
     flat = url_grams(urls, F.col("u"), order)
-    grams = cut(flat.groupBy("g").agg(F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad")))
-    scores = cut(gram_scores(grams, order, mass))
+    learnt = lambda n: F.sum(F.when(F.col("held"), 0).otherwise(F.col(n))).alias(n)
+    grams = cut(flat.groupBy("g").agg(learnt("n_good"), learnt("n_bad")))
+    scores = cut(gram_scores(grams, mass, order=order))
     few = scores.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    each = flat.groupBy("u", "n_good", "n_bad", "g").agg(F.count(F.lit(1)).alias("n"))
+    each = flat.groupBy("u", "n_good", "n_bad", "held", "g").agg(F.count(F.lit(1)).alias("n"))
     scored = cut(
         each.join(F.broadcast(scores) if few else scores, "g")
-        .groupBy("u", "n_good", "n_bad")
+        .groupBy("u", "n_good", "n_bad", "held")
         .agg(F.round(F.sum(F.col("n") * F.col("score")) / F.sum("n"), 6).alias("score"))
     )
-    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("score")), F.sum(c))
-    limit = scored.agg(F.round((mean("n_good") + mean("n_bad")) / 2, 6).alias("t")).first()["t"]
+    limit = calibrated(scored)
     by_method = F.lit("allow") if limit is None else F.when(F.coalesce(F.col("score"), F.lit(0.0)) < limit, F.lit("block")).otherwise(F.lit("allow"))
     return (
         parts.withColumn("said", said)
