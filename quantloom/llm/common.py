@@ -37,6 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows to a task where rows are a few numbers each, and tasks at least.
+SLIM_ROWS, SLIM_TASKS = 50_000, 8
+
+
+def slim(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have about ``rows`` short rows, in as many tasks as these are worth.
+
+    What follows a shuffle of few rows else runs in (and leaves files of) as many tasks as
+    the largest shuffle needs. The number grows with the rows; it never merges partitions
+    of a large table.
+    """
+    return df.coalesce(max(SLIM_TASKS, -(-rows // SLIM_ROWS)))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in taken:
+            made = f"_{made}"
+        taken.add(made.lower())
+        out.append(made)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once.
 
@@ -70,23 +97,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    seen = None
-    while True:
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = state(e)
+    rows = seen[0]
+    while rows:
+        e = slim(e, rows)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = slim(slim(large, rows).distinct(), rows)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        e = cut(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = slim(small, rows).unionByName(slim(low.select("u", F.col("m").alias("v")), rows)).distinct()
+        e = cut(slim(small, rows))
+        now = state(e)
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
     low = e.groupBy("v").agg(F.lit(1))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
         low.select(F.col("v").alias("id"), F.col("v").alias("component_id"))

@@ -1,81 +1,95 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a fixed pseudo-random order, are cut into blocks. The targets
-are brought to whole parts of a period of slots, one block to a slot. Block j of a source
-with share w is released at floor(j / w) and due at ceil((j + 1) / w); at every slot the
+Each source's documents, in a fixed pseudo-random order, are cut into blocks. Block j of a
+source with weight w (weights as exact fractions that sum to 1, never rounded to parts of
+a period) is released at floor(j / w) and due at ceil((j + 1) / w); at every slot the
 released block with the earliest deadline runs. On one processor this order meets every
-deadline, so at any slot a source has had less than one block more or less than its share.
-
-The schedule repeats after a period, so it is made once, for one period, on the driver:
-its size follows the number of sources, never the data. A document's slot follows from
-its rank within its source; ranks come from counts per hash bucket and a window inside a
-bucket, so no task orders a whole source. When a source has run out, its later slots stay
-empty and the others keep their order: no document is dropped or repeated.
-
-Defined cases: a null source is a source of its own (weights name it None); sources that
-the weights don't name get the least share; zero, negative or missing weights likewise;
-repeated rows take a rank each; an empty table gives an empty result.
+deadline, so after any slot a source has had less than one block more or less than its
+weight times the slots. When a source has run out, the others start anew with their
+weights brought to the sum 1: no slot stays empty, no document is dropped or repeated, and
+between two such points the deviation is less than one block.
+
+The schedule is made once, on the driver. Its length is bounded: a block has
+``block_rows`` rows, and more where the table has over ``max_slots`` such blocks, so the
+driver holds ``max_slots`` slots and one more per source at most, whatever the data. A
+table with more than ``max_sources`` sources is refused by an error. A document's slot
+follows from its rank within its source; ranks come from counts per hash bucket and a
+window inside a bucket, so no task orders a whole source.
+
+Defined cases: a null source is a source of its own (weights name it None); sources whose
+weight is zero, negative, not finite or missing get no slot while a weighted source has
+blocks left, and are then mixed in proportion to their sizes; documents with one id (or
+none) are told apart by their other columns, and rows equal in all columns take a rank
+each, which is which making no difference; an empty table gives an empty result. Extra
+columns pass through whatever their names, but mix_block, mix_slot and mix_row are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh
 
 #: A longer schedule is joined by a shuffle instead of a broadcast.
 BROADCAST_SLOTS = 50_000
 
 
-def shares(weights: dict[str | None, float], period: int) -> dict[str | None, int]:
-    """Whole parts of ``period``, at least one each, by largest remainder (ties by name)."""
-    if not weights:
-        return {}
-    if period < len(weights):
-        raise ValueError("the period needs a slot for each source")
-    good = {s: max(float(w), 0.0) if w is not None and w == w else 0.0 for s, w in weights.items()}
-    total = sum(good.values()) or 1.0
-    free = period - len(good)
-    exact = {s: max(0.0, w / total * period - 1) for s, w in good.items()}
-    scale = free / (sum(exact.values()) or 1.0)
-    parts = {s: 1 + int(x * scale) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] * scale - int(exact[s] * scale)), s is None, str(s)))
-    for s in by_rest[: period - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
-def pfair_schedule(parts: dict[str | None, int]) -> list[tuple[int, str | None, int]]:
-    """One period: slot, source and the number of its block within the period."""
-    period = sum(parts.values())
-    names = sorted(parts, key=lambda s: (s is None, str(s)))
-    waiting = [(0, k, 0) for k in range(len(names))]
+def exact_weights(weights: Iterable[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights; 0 for what is no positive number."""
+    parts = [Fraction(w) if w is not None and math.isfinite(w) and w > 0 else Fraction(0) for w in weights]
+    scale = math.lcm(*(p.denominator for p in parts)) if parts else 1
+    return [int(p * scale) for p in parts]
+
+
+def pfair_slots(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """Source and number of the block of each slot, until a weighted source has run out.
+
+    Integers only: with A the sum of the weights a, block j is released at floor(j A / a)
+    and due at ceil((j + 1) A / a).
+    """
+    total = sum(weights)
+    waiting = [(0, k, 0) for k, a in enumerate(weights) if a and blocks[k]]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // parts[names[k]]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[k]), k, j))
         due, k, j = heapq.heappop(ready)
         assert due > slot
-        out.append((slot, names[k], j))
-        if j + 1 < parts[names[k]]:
-            heapq.heappush(waiting, ((j + 1) * period // parts[names[k]], k, j + 1))
-    return out
+        yield k, j
+        if j + 1 == blocks[k]:
+            return
+        heapq.heappush(waiting, ((j + 1) * total // weights[k], k, j + 1))
+        slot += 1
+
 
+def schedule(weights: list[float], blocks: list[int]) -> list[tuple[int, int]]:
+    """Source and number of the block of every slot until all blocks have run.
 
-def deviation(schedule: list[tuple[int, str | None, int]], parts: dict[str | None, int]) -> Fraction:
-    """The largest distance, in blocks, of any source from its share after any slot."""
-    period, had, worst = sum(parts.values()), dict.fromkeys(parts, 0), Fraction(0)
-    for slot, name, _ in schedule:
-        had[name] += 1
-        worst = max(worst, *[abs(had[s] - Fraction(parts[s] * (slot + 1), period)) for s in parts])
-    return worst
+    In rounds: each ends when a source has run out, and the next is made for the others.
+    """
+    exact, left, done = exact_weights(weights), list(blocks), [0] * len(blocks)
+    out: list[tuple[int, int]] = []
+    while any(left):
+        now = [a if n else 0 for a, n in zip(exact, left, strict=True)]
+        if not any(now):
+            now = left  # what has no weight: in proportion to what is left
+        start = list(done)
+        for k, j in pfair_slots(list(now), left):
+            out.append((k, start[k] + j))
+            done[k] += 1
+        left = [n - (d - s) for n, d, s in zip(left, done, start, strict=True)]
+    return out
 
 
 def mix_sources(
@@ -84,7 +98,8 @@ def mix_sources(
     source: str = "source",
     doc_id: str = "doc_id",
     block_rows: int = 16,
-    period: int = 1000,
+    max_slots: int = 200_000,
+    max_sources: int = 10_000,
     temperature: float = 0.5,
     bucket_rows: int = 20_000,
 ) -> DataFrame:
@@ -93,38 +108,41 @@ def mix_sources(
     Ordered by mix_slot and mix_row the documents are mixed. Without weights a source's
     target is its number of documents to the power ``temperature``.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")])
-    counts = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # one row per source
-    targets = {s: (weights or {}).get(s, 0.0) if weights else n**temperature for s, n in counts.items()}
-    parts = shares(targets, max(period, 2 * len(targets)))
+    docs = docs.select([f"`{c}`" for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")])
+    h, b, r, s, of, off, at = fresh(docs, "h", "b", "r", "s", "of", "off", "at")
+    counts = [(x[0], x[1]) for x in docs.groupBy(source).count().limit(max_sources + 1).collect()]  # one row per source
+    if len(counts) > max_sources:
+        raise ValueError(f"more than {max_sources} sources: mix groups of them")
+    counts.sort(key=lambda x: (x[0] is None, str(x[0])))
+    rows = sum(n for _, n in counts)
+    block_rows = max(block_rows, -(-rows // max_slots))
+    targets = [(weights or {}).get(x, 0.0) if weights else n**temperature for x, n in counts]
+    plan = schedule(targets, [-(-n // block_rows) for _, n in counts])
     spark = docs.sparkSession
-    slots = sum(parts.values())
-    kind = docs.schema[source].dataType.simpleString()
-    plan = spark.createDataFrame(
-        [(s, parts[s], j, slot) for slot, s, j in pfair_schedule(parts)], f"_s {kind}, _parts int, _j int, _slot long"
+    kind = docs.schema[source].dataType
+    numbered = spark.createDataFrame(
+        [(x, k) for k, (x, _) in enumerate(counts)], T.StructType([T.StructField(s, kind), T.StructField("_k", T.IntegerType())])
     )
-    sizes = plan.select("_s", "_parts").distinct()
-    buckets = max(64, -(-sum(counts.values()) // bucket_rows))
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(doc_id))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    per = keyed.groupBy(F.col(source).alias("_s"), "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(per.select("_s", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off")))
-    inside = Window.partitionBy(source, "_b").orderBy("_h", doc_id)
-    ranked = keyed.withColumn("_r", F.row_number().over(inside))
-    small = slots <= BROADCAST_SLOTS
-    hint = lambda d: F.broadcast(d) if small else d
-    at = ranked.join(
-        offsets.withColumnRenamed("_b", "_ob"), F.col(source).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_ob"))
-    ).drop("_s", "_ob")
-    rank = F.col("_off") + F.col("_r") - 1
+    frame = pd.DataFrame(plan, columns=["_k", "_j"]).astype({"_k": "int32", "_j": "int64"})
+    slots = spark.createDataFrame(frame.assign(_slot=range(len(plan))), "_k int, _j long, _slot long")
+    hint = lambda d: F.broadcast(d) if len(plan) <= BROADCAST_SLOTS else d
+    by_source = hint(slots.join(F.broadcast(numbered), "_k").select(s, F.col("_j").alias(at), F.col("_slot").alias("mix_slot")))
+    # all columns that hash: rows of one id, or of none, go to different buckets if they differ
+    mixed = [F.col(f"`{f.name}`") for f in docs.schema if f.name != doc_id and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    buckets = max(64, -(-rows // bucket_rows))
+    keyed = docs.withColumn(h, F.xxhash64(F.col(doc_id), *mixed)).withColumn(b, F.pmod(h, F.lit(buckets)))
+    per = keyed.groupBy(F.col(source).alias(s), F.col(b).alias(of)).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(s).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(per.select(s, of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(off)))
+    inside = Window.partitionBy(source, b).orderBy(h, doc_id)
+    ranked = keyed.withColumn(r, F.row_number().over(inside))
+    same = F.col(source).eqNullSafe(F.col(s))
+    rank = F.col(off) + F.col(r) - 1
     blocked = (
-        at.withColumn("mix_block", F.floor(rank / block_rows).cast("long"))
+        ranked.join(offsets, same & (F.col(b) == F.col(of)))
+        .drop(s)
+        .withColumn("mix_block", F.floor(rank / block_rows).cast("long"))
         .withColumn("mix_row", (rank % block_rows).cast("int"))
-        .join(hint(sizes), F.col(source).eqNullSafe(F.col("_s")))
-        .drop("_s")
-        .withColumn("_k", (F.col("mix_block") % F.col("_parts")).cast("int"))
     )
-    out = blocked.join(
-        hint(plan.select(F.col("_s"), "_j", "_slot")), F.col(source).eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_j"))
-    ).withColumn("mix_slot", F.expr(f"mix_block div _parts * {slots}L + _slot"))
-    return out.select(*docs.columns, "mix_block", "mix_slot", "mix_row")
+    out = blocked.join(by_source, same & (F.col("mix_block") == F.col(at)))
+    return out.select(*[f"`{c}`" for c in docs.columns], "mix_block", "mix_slot", "mix_row")
