@@ -3,8 +3,9 @@ r"""Chat formatting: layouts told by schema fingerprints, turns in a reversible
 Rows of different layouts (a prompt and a response, an instruction with input, message
 lists, one row per turn) are brought to canonical turns. A *mapping* declares for one
 layout its required and optional nested field paths, and how turns come from them. The
-fingerprint of a set of paths is the SHA-256 of its sorted names; a row's fingerprint is
-taken over the layout fields that the row has, and selects the mapping.
+fingerprint of a set of paths is the SHA-256 of its sorted names. The schema's fingerprints
+select the mappings; in a table of several layouts a row's own fingerprint, over the
+fields that it has, selects among them. Columns of other layouts, and others, don't count.
 
 Template: ``<turn>role\ntext</turn>\n`` for each turn. Inside roles and texts ``\`` is
 written ``\\`` and ``<`` is written ``\l`` (in roles a line feed is ``\n``), so that no
@@ -15,10 +16,12 @@ Built-in functions only. Turns are escaped and measured row by row before they a
 gathered; what is gathered is one conversation, which is one row of the output by
 definition of the format.
 
-Defined cases: a null text or role is empty; ties in the turn number are ordered by role
-and text, repeated rows stay repeated turns, a null turn comes first; null conversation
-ids form one conversation; rows of no known layout give no turn (``unmapped`` returns
-them); an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text or role is empty, as are a null prompt, instruction, input,
+response and the like; ties in the turn number are ordered by role and text, repeated rows
+stay repeated turns, a null turn comes first; null conversation ids form one conversation;
+rows of no known layout and rows with a null or empty list of messages give no turn, but
+their conversation stays, with an empty text if it has no other turn (``unmapped`` returns
+the rows of no layout); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,40 +119,54 @@ MAPPINGS = (
 )
 
 
-def row_fingerprint(df: DataFrame, mappings: Iterable[Mapping] = MAPPINGS) -> Column:
-    """SHA-256 over the layout paths whose top field is not null in the row."""
-    known = {p for m in mappings for p in m.paths()}
-    have = sorted(known & set(field_paths(df.schema)))
-    top = lambda p: p.split(".")[0].split("[")[0].split("{")[0]
-    there = F.array(*[F.when(F.col(f"`{top(p)}`").isNotNull(), F.lit(p)) for p in have]) if have else F.array(F.lit(None).cast("string"))
-    return F.sha2(F.array_join(there, "\n"), 256)
+def candidates(schema: T.StructType, mappings: Iterable[Mapping] = MAPPINGS) -> list[Mapping]:
+    """The mappings that the schema's fingerprints select, those of most required paths first.
+
+    A mapping is selected if the fingerprint of the schema's paths that it knows is one of
+    its own; paths of no concern to it don't count.
+    """
+    have = set(field_paths(schema))
+    hit = [m for m in mappings if fingerprint(have & m.paths()) in m.fingerprints()]
+    return sorted(hit, key=lambda m: -len(m.required))
+
+
+def _top(path: str) -> str:
+    return path.split(".")[0].split("[")[0].split("{")[0]
+
+
+def row_fingerprint(have: Iterable[str], mapping: Mapping) -> Column:
+    """SHA-256 over those of the mapping's paths whose top field is not null in the row."""
+    known = sorted(mapping.paths() & set(have))
+    there = [F.when(F.col(f"`{_top(p)}`").isNotNull(), F.lit(p)) for p in known]
+    return F.sha2(F.array_join(F.array(*there), "\n"), 256)
 
 
 def canonical_turns(df: DataFrame, mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
     """``df`` with ``_layout`` (name of the mapping, null if none) and ``_turns`` (array of role and text).
 
-    A row all of whose layout fields are null takes the layout of the table's own
-    fingerprint, if that is known.
+    A table whose schema selects one mapping follows it in every row, nulls being empty.
+    In a table of several layouts a row follows the first one that its own fingerprint
+    selects, else the one of whose required fields it has most (of equal ones the first);
+    a row with no field of any layout has none.
     """
-    mappings = tuple(mappings)
     have = set(field_paths(df.schema))
-    fits = [m for m in mappings if have.issuperset(m.required) and have & m.paths()]
-    of_row = row_fingerprint(df, mappings)
-    layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    of_table = fingerprint(have & {p for m in mappings for p in m.paths()})
-    nothing = of_row == F.lit(fingerprint(()))
-    for m in fits:
-        prints = m.fingerprints()
-        hit = of_row.isin(prints)
-        if of_table in prints:
-            hit = hit | nothing
-        layout = F.when(hit, F.lit(m.name)).otherwise(layout)
-        turns = F.when(hit, F.coalesce(m.turns(have), turns)).otherwise(turns)
-    return df.withColumn("_layout", layout).withColumn("_turns", turns)
+    fits = candidates(df.schema, mappings)
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    if len(fits) == 1:
+        layout, turns = F.lit(fits[0].name), fits[0].turns(have)
+    elif fits:
+        count = lambda m: sum((F.col(f"`{_top(p)}`").isNotNull().cast("int") for p in (m.required or m.optional) if p in have), F.lit(0))
+        most = F.greatest(*map(count, fits))
+        rules = [(row_fingerprint(have, m).isin(m.fingerprints()), m) for m in fits] + [((most > 0) & (count(m) == most), m) for m in fits]
+        for hit, m in reversed(rules):
+            layout = F.when(hit, F.lit(m.name)).otherwise(layout)
+            turns = F.when(hit, m.turns(have)).otherwise(turns)
+    return df.withColumn("_layout", layout).withColumn("_turns", F.coalesce(turns, none))
 
 
 def unmapped(df: DataFrame, mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
-    """The rows whose layout no mapping declares."""
+    """The rows whose layout no mapping declares; ``format_chats`` keeps them as conversations without turns."""
     return canonical_turns(df, mappings).where(F.col("_layout").isNull()).drop("_layout", "_turns")
 
 
@@ -173,8 +190,8 @@ def format_chats(
     turn: start of the turn, start and end (excluded) of its text under the loss mask, in
     code points of ``formatted``; null start and end where the turn is not trained on."""
     order = F.col(turn) if turn else F.lit(0)
-    rows = canonical_turns(df, mappings).select(
-        F.col(conv_id).alias("_id"), order.alias("_turn"), F.posexplode("_turns").alias("_k", "t")
+    rows = canonical_turns(df.drop("_layout", "_turns"), mappings).select(
+        F.col(conv_id).alias("_id"), order.alias("_turn"), F.posexplode_outer("_turns").alias("_k", "t")
     )
     role, text = escape(F.col("t.role"), True), escape(F.col("t.text"))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
@@ -186,17 +203,17 @@ def format_chats(
             F.length(head).alias("before"), F.length(text).alias("inside"),
         )
         .withColumn("pos", F.row_number().over(by))
-        .withColumn("start", F.sum(F.length("segment")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.length("segment"))
+        .withColumn("start", F.sum(F.coalesce(F.length("segment"), F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.length("segment"))
     )
     trained = F.col("role") == TRAINED
     at = F.col("start") + F.col("before")
-    turn_row = F.struct(
+    turn_row = F.when(F.col("segment").isNotNull(), F.struct(
         "pos",
         "segment",
         F.struct(
             "start", F.when(trained, at).alias("loss_start"), F.when(trained, at + F.col("inside")).alias("loss_end")
         ).alias("m"),
-    )
+    ))
     return (
         flat.groupBy("_id")
         .agg(F.sort_array(F.collect_list(turn_row)).alias("x"))
