@@ -4,9 +4,11 @@ The model file is a protobuf message; its wire format is read here: pieces with
 and kinds, the trainer's model type and byte fallback, the normaliser's character map and
 white-space flags. From these a tokenizer is rebuilt: the normaliser, the metaspace
 marker, the unigram scores (or, for a BPE model, the merges that the scores imply) and
-byte fallback. Batches are encoded by several threads. Parity with the model's meaning is
-verified against the sentencepiece library, which is required, on a probe set when a
-worker loads the model, and in the tests.
+byte fallback. User-defined pieces are cut out first; control, unknown and unused pieces
+are never met by a text. Batches are encoded by several threads. Ids are decoded by a table
+of the pieces' bytes. Parity with the model's meaning is verified against the
+sentencepiece library, which is required, and against the rebuilt tokenizer's decoder on a
+probe set when a worker loads the model, and in the tests.
 
 The model travels to the executors as bytes with the task; no file is opened there.
 
@@ -82,6 +84,7 @@ class Model:
     model_type: int = UNIGRAM
     byte_fallback: bool = False
     suffix: bool = False
+    unknown_text: str = " \u2047 "
     charsmap: bytes = b""
     dummy_prefix: bool = True
     remove_extra: bool = True
@@ -110,6 +113,8 @@ def parse_model(data: bytes) -> Model:
                     out.suffix = bool(v)
                 elif n == 35:
                     out.byte_fallback = bool(v)
+                elif n == 44:
+                    out.unknown_text = v.decode("utf-8")
         elif number == 3:
             for n, v in wire_fields(value):
                 if n == 2:
@@ -125,7 +130,7 @@ def parse_model(data: bytes) -> Model:
 
 def implied_merges(model: Model) -> list[tuple[str, str]]:
     """The merges of a BPE model: every split of a piece into two pieces, best score first."""
-    ids = {p: k for k, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER, UNUSED)}
+    ids = {p: k for k, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
     out = []
     for piece, k in ids.items():
         for cut_at in range(1, len(piece)):
@@ -140,12 +145,16 @@ def build_tokenizer(model: Model):
     if model.suffix or not model.escape_spaces:
         raise ValueError("white space as a suffix or unescaped is not supported")
     unk = next((k for k, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
+    # no normalised text holds a space, so under such a name no text meets the piece; its id stays
+    named = [p if kind in (NORMAL, BYTE) else f" {k} " for k, (p, _, kind) in enumerate(model.pieces)]
     if model.model_type == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk, model.byte_fallback)
+        core = models.Unigram([(p, x[1]) for p, x in zip(named, model.pieces, strict=True)], unk, model.byte_fallback)
     elif model.model_type == BPE:
+        merges = implied_merges(model)
+        parts = {x for pair in merges for x in pair}
         core = models.BPE(
-            {p: k for k, (p, _, _) in enumerate(model.pieces)}, implied_merges(model),
-            unk_token=None if unk is None else model.pieces[unk][0], fuse_unk=True, byte_fallback=model.byte_fallback,
+            {model.pieces[k][0] if model.pieces[k][0] in parts else p: k for k, p in enumerate(named)}, merges,
+            unk_token=None if unk is None else named[unk], fuse_unk=True, byte_fallback=model.byte_fallback,
         )
     else:
         raise ValueError(f"model type {model.model_type} is not supported")
@@ -185,8 +194,14 @@ class Codec:
         self.bare.normalizer = normalizers.Sequence([])
         self.cache: dict[str, bytes] = {}
         self.most = cache_units
-        spell = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(META, " ").encode()
+        #: User-defined pieces are cut out of the normalised text first, the longest at each place.
+        user = sorted((p for p, _, kind in self.model.pieces if kind == USER and p), key=lambda p: (-len(p), p))
+        self.user = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
+        self.user_ids = {p: k for k, (p, _, kind) in enumerate(self.model.pieces) if kind == USER}
+        said = {CONTROL: b"", UNKNOWN: self.model.unknown_text.encode()}
+        spell = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else said[kind] if kind in said else p.replace(META, " ").encode()
         self.spelled = [spell(p, kind) for p, _, kind in self.model.pieces]
+        self.unknown = {k for k, p in enumerate(self.model.pieces) if p[2] == UNKNOWN}
 
     def normalise(self, text: str) -> str:
         if self.model.charsmap or self.model.remove_extra:
@@ -196,6 +211,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
         pack = lambda ids: array("i", ids).tobytes()
+        if self.user is not None:
+            return [b"".join(self._around(self.normalise(t))) for t in texts]
         if not self.by_units:
             return [pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [self.units.findall(self.normalise(t)) for t in texts]
@@ -206,14 +223,27 @@ class Codec:
             self.cache[u] = pack(e.ids)
         return [b"".join(map(self.cache.__getitem__, units)) for units in split]
 
+    def _around(self, text: str) -> Iterator[bytes]:
+        """Ids of a normalised text, piece by piece around the user-defined ones."""
+        parts = self.user.split(text)
+        plain = iter(self.bare.encode_batch_fast([p for p in parts[::2] if p], add_special_tokens=False))
+        for k, p in enumerate(parts):
+            if k % 2:
+                yield array("i", [self.user_ids[p]]).tobytes()
+            elif p:
+                yield array("i", next(plain).ids).tobytes()
+
     def decode(self, packed: list[bytes]) -> list[str]:
         """Texts of packed ids; bytes that are no UTF-8 become replacement marks."""
-        spelled, out = self.spelled, []
+        spelled, unknown, out = self.spelled, self.unknown, []
         for p in packed:
             ids = array("i")
             ids.frombytes(p)
             text = b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")
-            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            # the marker before the text is no part of it; an unknown piece's own space is
+            if self.model.dummy_prefix and text[:1] == " " and next((k for k in ids if spelled[k]), None) not in unknown:
+                text = text[1:]
+            out.append(text)
         return out
 
 
@@ -231,7 +261,9 @@ def load(data: bytes, threads: int = 2, verify: bool = True) -> Codec:
             truth = sentencepiece.SentencePieceProcessor(model_proto=data)
             for probe, packed in zip(PROBES, made.encode(list(PROBES)), strict=True):
                 want = truth.encode(probe)
-                if array("i", want).tobytes() != packed or made.decode([packed])[0] != truth.decode(want):
+                back = made.decode([packed])[0]
+                plain = not made.unknown.intersection(want)  # the library's decoder does not spell these
+                if array("i", want).tobytes() != packed or back != truth.decode(want) or plain and back != made.tokenizer.decode(want, skip_special_tokens=False):
                     raise ValueError(f"the rebuilt tokenizer differs from the model on {probe!r}")
         _loaded[key] = made
     return _loaded[key]
