@@ -12,6 +12,10 @@ whatever stands around it. Of windows with equal hashes over the whole corpus, t
 (by document id, then line) stays; the lines of every other one are compared byte for
 byte with the lines of the first and removed where they are equal.
 
+The windows are the densest content-defined chunks: sparser ones, whose ends are chosen by
+a rolling hash over line hashes, hold a short passage whole only by chance (the README has
+figures), so every line with words begins and ends one here.
+
 Built-in functions only. Windows leave the scan as keys of a few bytes, without text; they
 are counted with a combine before the shuffle. Texts are shuffled by document id, and
 only repeated lines are shuffled for the comparison, in a join that skew handling splits.
@@ -28,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, fresh, let, words
 
 
 def _lines(text: Column) -> Column:
@@ -82,7 +86,7 @@ def dedup_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    min_words: int = 15,
+    min_words: int = 8,
     long_line: int = 50,
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_removed_lines``."""
@@ -116,16 +120,17 @@ def dedup_lines(
         found.where("of is not null").join(kept, ["of", "j"]).where(F.col("line") == F.col("first_line"))
         .groupBy("_id").agg(F.collect_set(F.struct("i", F.xxhash64("line").alias("h"))).alias("_gone"))
     )
-    rest = docs.join(gone.withColumnRenamed("_id", "_of"), F.col(doc_id) == F.col("_of"), "left")
+    of, lost_lines = fresh(docs, "of", "gone")
+    rest = docs.join(gone.select(F.col("_id").alias(of), F.col("_gone").alias(lost_lines)), F.col(doc_id) == F.col(of), "left")
 
     def without(lines: Column) -> Column:
         keys = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h")))
-        left = F.array_except(keys, "_gone")
+        left = F.array_except(keys, lost_lines)
         return let(left, lambda k: F.transform(k, lambda y: F.get(lines, y["i"])))
 
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(let(_lines(F.col(text)), without), "\n"))
-    lost = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(
+    new = F.when(F.col(lost_lines).isNull(), F.col(text)).otherwise(F.array_join(let(_lines(F.col(text)), without), "\n"))
+    lost = F.when(F.col(lost_lines).isNull(), F.lit(0)).otherwise(
         let(_lines(F.col(text)), lambda x: F.size(x) - F.size(without(x)))
     )
     names = [c for c in docs.columns if c != "n_removed_lines"]
-    return rest.select(*[new.alias(c) if c == text else F.col(c) for c in names], lost.cast("long").alias("n_removed_lines"))
+    return rest.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in names], lost.cast("long").alias("n_removed_lines"))
