@@ -93,6 +93,75 @@ def test_url_models_learn_from_rules(spark):
     assert got[200] == "allow" and got[201] == "block"
 
 
+def test_url_parts_end_at_the_first_mark(spark):
+    want = {
+        "http://a.org?u=http://b.com/x": ("a.org", ""), "http://www.b.com?next=https://c.org/de/1": ("www.b.com", ""), "http://c.com/de/1?x=http://y.org/": ("c.com", "/de/1"),
+        "http://d.org#s://e/f": ("d.org", ""), "http://://x": ("://x"[:1], "//x"), "://H.I/j\nk": ("h.i", "/j\nk"), "http:/x.org/": ("", ""), "": ("", ""), None: ("", ""),
+        "http://f.org/a#b?c": ("f.org", "/a"), "http://É.org": ("É.org", ""),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(want)], "page_id long, url string")
+    got = {r["url"]: (r["host"], r["path"]) for r in urls.url_filter(df, {"org/": "allow"}).collect()}
+    assert got == want
+
+
+def models_by_hand(rows, rules, order=4, mass=2.0):
+    """Scores, threshold and verdicts by plain loops."""
+    import math
+
+    def rule(u):
+        rest = (u or "").partition("://")[2].split("?")[0].split("#")[0]
+        host, slash, path = rest.partition("/")
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        hits = [r for r in rules for name, _, p in [r.partition("/")] if (host == name or host.endswith("." + name)) and (slash + path).startswith("/" + p)]
+        return max(hits, key=lambda r: (len(r), r), default=None)
+
+    said = {u: rules.get(rule(u)) for _, u in rows}
+    held = {u: hashlib.md5((u or "").encode()).hexdigest()[0] < "4" for _, u in rows}
+    times = Counter(u for _, u in rows)
+    pad = lambda u: "\x02" * order + (u or "")
+    n = {"allow": Counter(), "block": Counter()}
+    for u, c in times.items():
+        for i in range(order, len(pad(u))):
+            for k in range(order + 1):
+                if said[u] and not held[u]:
+                    n[said[u]][pad(u)[i - k : i + 1]] += c
+                    n[said[u]]["ctx" + str(k) + pad(u)[i - k : i]] += c
+
+    def p(side, t):
+        if not t:
+            return 1 / 256
+        return (n[side][t] + mass * p(side, t[1:])) / (n[side]["ctx" + str(len(t) - 1) + t[:-1]] + mass)
+
+    def score(u):
+        parts = [math.log(p("allow", pad(u)[i - order : i + 1])) - math.log(p("block", pad(u)[i - order : i + 1])) for i in range(order, len(pad(u)))]
+        return sum(parts) / len(parts) if parts else 0.0
+
+    scores = {u: round(score(u), 6) for u in times}
+    judged = [u for u in times if said[u] and held[u]]
+    count = lambda us, v: sum(times[u] for u in us if said[u] == v)
+    if not count(judged, "allow") or not count(judged, "block"):
+        judged = [u for u in times if said[u]]
+    good, bad = count(judged, "allow"), count(judged, "block")
+    if not good or not bad:
+        return scores, {u: said[u] or "allow" for u in times}
+    cuts = sorted({math.floor(scores[u] * 100) for u in judged})
+    gain = lambda t: sum((good if said[u] == "block" else -bad) * times[u] for u in judged if scores[u] < t / 100)
+    best = max(cuts, key=lambda t: (gain(t), -t))
+    limit = (best + max((t + 1 for t in cuts if t < best), default=best)) / 200
+    return scores, {u: said[u] or ("block" if scores[u] < limit else "allow") for u in times}
+
+
+def test_url_models_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda a: "".join(rng.choice(list(a), 5))
+    rows = [(i, f"http://{word('abcde')}.org/en/{word('efghi')}") for i in range(60)] + [(100 + i, f"http://{word('vwxyz')}.bad/win/{word('stuvw')}") for i in range(50)]
+    rows += [(200 + i, f"http://{word('abcdevwxyz')}.net/{word('efgstu')}") for i in range(40)] + [(300, None), (301, ""), (302, rows[0][1]), (303, "xé🙂")]
+    rules = {"org/": "allow", "bad/": "block"}
+    scores, verdicts = models_by_hand(rows, rules)
+    for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect():
+        assert abs(r["score"] - scores[r["url"]]) < 2e-6 and r["verdict"] == verdicts[r["url"]], r
+
+
 def test_url_empty_table(spark):
     assert urls.url_filter(spark.createDataFrame([], "page_id long, url string"), {"org/": "allow"}).count() == 0
 
@@ -110,7 +179,24 @@ def test_layouts_by_fingerprint(spark):
     assert back[1] == [("user", "a"), ("assistant", "")]
     assert back[2] == [("system", "be kind"), ("user", "p"), ("assistant", "r")]
     assert back[3] == [("user", "do\n\nwith"), ("assistant", "done")] and back[4] == [("user", "do"), ("assistant", "done")]
-    assert 5 not in back and [r["conv_id"] for r in chat.unmapped(df).collect()] == [5]
+    assert back[5] == [("user", "only"), ("assistant", "")] and chat.unmapped(df).count() == 0
+
+
+def test_columns_of_other_layouts_and_nulls_lose_no_turn(spark):
+    read = lambda df, turn=None: {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_chats(df, turn=turn)).collect()}
+    rows = [(1, 0, "user", "a", "x", "s"), (1, 1, "assistant", None, None, None), (2, 0, None, None, "x", None)]
+    got = read(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, input string, system string"), "turn")
+    assert got == {1: [("user", "a"), ("assistant", "")], 2: [("", "")]}
+    rows = [(1, None, "r"), (2, "p", None), (3, None, None)]
+    got = read(spark.createDataFrame(rows, "conv_id long, prompt string, response string"))
+    assert got == {1: [("user", ""), ("assistant", "r")], 2: [("user", "p"), ("assistant", "")], 3: [("user", ""), ("assistant", "")]}
+    rows = [(1, "user", "t", None, None), (2, None, None, "q", "a"), (3, None, None, None, "a"), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, role string, text string, question string, answer string")
+    assert read(df) == {1: [("user", "t")], 2: [("user", "q"), ("assistant", "a")], 3: [("user", ""), ("assistant", "a")], 4: []}
+    assert [r["conv_id"] for r in chat.unmapped(df).collect()] == [4]
+    df = spark.createDataFrame([(1, None), (2, []), (3, [("user", "x"), None])], "conv_id long, messages array<struct<role string, content string>>")
+    assert read(df) == {1: [], 2: [], 3: [("user", "x"), ("", "")]}
+    assert read(spark.createDataFrame([(1, "x")], "conv_id long, other string")) == {1: []}
 
 
 def test_from_value_layout(spark):
@@ -174,40 +260,66 @@ def test_vectors_brute_force(spark):
 # ---- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1, None: 1}, {str(k): 1 / (k + 1) for k in range(25)}, {"a": 0, "b": -1, "c": 9}])
-def test_pfair_deviation(weights):
-    parts = mixing.shares(weights, 500)
-    assert sum(parts.values()) == 500 and min(parts.values()) >= 1
-    assert mixing.deviation(mixing.pfair_schedule(parts), parts) < 1
+@pytest.mark.parametrize("weights", [[1, 1], [1, 1, 1], [5, 3, 1, 1], [1 / (k + 1) for k in range(25)], [0.0001, 1, 2.5], [0.1, 0.2, 0.3], [1e-9, 1e9]])
+def test_pfair_deviation_from_the_exact_weights(weights):
+    exact = [Fraction(w) for w in weights]
+    total, had = sum(exact), [0] * len(exact)
+    many = [4000] * len(exact)
+    run = list(mixing.pfair_slots(mixing.exact_weights(weights), many))
+    for slot, (k, j) in enumerate(run[:4000], 1):
+        assert j == had[k]
+        had[k] += 1
+        assert all(abs(had[i] - slot * w / total) < 1 for i, w in enumerate(exact))
+
+
+def test_pfair_is_earliest_deadline_first_among_released():
+    weights = [Fraction(3, 10), Fraction(1, 2), Fraction(1, 5)]
+    had = [0, 0, 0]
+    for slot, (k, _) in enumerate(mixing.pfair_slots(mixing.exact_weights(map(float, [3, 5, 2])), [50] * 3)):
+        ready = [(-(-(had[i] + 1) // w), i) for i, w in enumerate(weights) if had[i] // w <= slot]
+        assert k == min(ready)[1]
+        had[k] += 1
+
+
+def test_schedule_runs_every_block_once_and_zero_weights_last():
+    weights, blocks = [3.0, 1.0, 0.0, float("nan"), -2.0], [7, 40, 5, 3, 0]
+    out = mixing.schedule(weights, blocks)
+    assert Counter(k for k, _ in out) == {0: 7, 1: 40, 2: 5, 3: 3}
+    for k in range(4):
+        assert [j for i, j in out if i == k] == list(range(blocks[k]))
+    assert {k for k, _ in out[:47]} == {0, 1} and mixing.schedule([], []) == []
+    first = [k for k, _ in out[:8]]  # until the first source has run out: 3 to 1
+    assert all(abs(first[:t].count(0) - Fraction(3 * t, 4)) < 1 for t in range(1, 9))
 
 
 def test_mixing_brute_force(spark):
     rows = [(i, "x", "en", ("a", "b", "c", None)[int(i**0.5) % 4]) for i in range(400)]
-    docs = docs_of(spark, [*rows, (7, "x", "en", "a"), (None, "x", "en", "b")]).withColumn("mix_slot", F.lit("clash"))
-    got = mixing.mix_sources(docs, {"a": 3.0, "b": 1.0, "c": 1.0}, block_rows=4, period=50, bucket_rows=5).collect()
-    assert len(got) == 402
+    clash = {c: F.lit(f"mine{c}") for c in ("_h", "_b", "_r", "_s", "_of", "_off", "_at", "_k", "_j", "MIX_slot2", "_slot")}
+    docs = docs_of(spark, [*rows, (7, "x", "en", "a"), (7, "x", "en", "a"), (None, "x", "en", "b"), (None, "y", "en", "b")]).withColumn("mix_slot", F.lit("clash")).withColumns(clash)
+    weights = {"a": 3.0, "b": 1.0, "c": 1 / 3}
+    got = mixing.mix_sources(docs, weights, block_rows=4, bucket_rows=5).collect()
+    assert len(got) == 404 and all(r[c] == f"mine{c}" for r in got for c in clash)
     per = defaultdict(list)
     for r in got:
         per[r["source"]].append((r["mix_block"], r["mix_row"], r["mix_slot"]))
-    parts = mixing.shares({"a": 3.0, "b": 1.0, "c": 1.0, None: 0.0}, 50)
-    period = sum(parts.values())
-    order = mixing.pfair_schedule(parts)
-    for s, xs in per.items():
-        xs.sort()
-        assert [(b, k) for b, k, _ in xs] == [(i // 4, i % 4) for i in range(len(xs))]
-        mine = [slot for slot, name, _ in order if name == s]
-        assert all(slot == b // parts[s] * period + mine[b % parts[s]] for b, _, slot in xs)
-    slots = sorted({(r["mix_slot"], r["source"]) for r in got}, key=lambda x: x[0])
-    assert len({x for x, _ in slots}) == len(slots)
-    # earliest deadline first by hand, over the whole span before any source runs out
-    had = dict.fromkeys(parts, 0)
-    for t in range(20):
-        ready = [(-(-(had[s] + 1) * period // parts[s]), s is None, str(s), s) for s in parts if had[s] * period // parts[s] <= t]
-        s = min(ready)[3]
-        had[s] += 1
-        assert order[t][1] == s
-        assert all(abs(had[q] - Fraction(parts[q] * (t + 1), period)) < 1 for q in parts)
+    names = sorted(per, key=lambda s: (s is None, str(s)))
+    order = mixing.schedule([weights.get(s, 0.0) for s in names], [-(-len(per[s]) // 4) for s in names])
+    for k, s in enumerate(names):
+        xs = sorted(per[s])
+        assert [(b, r) for b, r, _ in xs] == [(i // 4, i % 4) for i in range(len(xs))]
+        mine = [slot for slot, (i, _) in enumerate(order) if i == k]
+        assert all(slot == mine[b] for b, _, slot in xs)
+    assert sorted({r["mix_slot"] for r in got}) == list(range(len(order)))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_sources(docs, max_sources=2)
+
+
+def test_mixing_bounds_the_schedule_and_ranks_do_not_depend_on_partitions(spark):
+    docs = docs_of(spark, [(i % 50 if i % 3 else None, f"t{i}", "en", "ab"[i % 2]) for i in range(600)])
+    runs = [mixing.mix_sources(d, {"a": 1, "b": 2}, block_rows=1, max_slots=30, bucket_rows=10) for d in (docs, docs.repartition(7, "text"))]
+    a, b = ({r["text"]: (r["mix_slot"], r["mix_row"]) for r in x.collect()} for x in runs)
+    assert a == b and len(set(a.values())) == 600 and max(s for s, _ in a.values()) < 32
 
 
 # ---- lines
@@ -254,6 +366,50 @@ def _lines_of_sizes(seed):
     return lambda *sizes: [" ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)) for n in sizes]
 
 
+def runs_by_hand(rows, min_words=8, long_line=50):
+    """Lines that a run equal to an earlier one covers, by comparing all pairs of places byte by byte."""
+    lines_of = {i: t.split("\n") for i, t in rows}
+    places = [(i, k) for i, ls in sorted(lines_of.items()) for k in range(len(ls))]
+    gone = defaultdict(set)
+    for n, (i, k) in enumerate(places):
+        for j, m in places[n + 1 :]:
+            a, b = lines_of[i], lines_of[j]
+            if a[k] != b[m] or (k and m and (i, k - 1) != (j, m) and a[k - 1] == b[m - 1]):
+                continue
+            size = 0
+            while k + size < len(a) and m + size < len(b) and a[k + size] == b[m + size]:
+                size += 1
+            sizes = [len(x.split()) for x in a[k : k + size]]
+            if sum(x > 0 for x in sizes) >= 2 and sum(sizes) >= min_words or max(sizes) >= long_line:
+                gone[j] |= set(range(m, m + size))
+    return gone
+
+
+def test_line_dedup_against_all_pairs_of_runs(spark):
+    rng = np.random.default_rng(12)
+    made = _lines_of_sizes(13)
+    planted = [made(*[9] * n) for n in (2, 3, 4, 6, 10) for _ in range(6)] + [made(6, 6) for _ in range(4)] + [made(2, 3) for _ in range(3)] + [made(55)]
+    rows, at = [], 0
+    for k in range(60):
+        p = planted[k % len(planted)] if k < 2 * len(planted) else []
+        at += 1
+        rows.append((at, "\n".join([*made(*rng.integers(1, 12, 3)), *p, *made(*rng.integers(1, 12, 3))])))
+    rows += [(1000 + k, "\n".join([*made(7), *p, *made(5)])) for k, p in enumerate(planted)]
+    gone = runs_by_hand(rows)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    for i, t in rows:
+        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), i
+    whole = [not set(p) & set(got[1000 + k].split("\n")) for k, p in enumerate(planted)]
+    assert whole == [sum(len(x.split()) for x in p) >= 8 for p in planted]
+
+
+def test_line_dedup_clashing_columns(spark):
+    t = "\n".join(_lines_of_sizes(3)(9, 9, 9))
+    docs = docs_of(spark, [(1, t, "en", "a"), (2, t, "en", "a")]).withColumns({c: F.lit(c) for c in ("_gone", "_of", "_id", "_text", "hash", "first", "line")})
+    got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
+    assert got[2]["text"] == "" and got[1]["text"] == t and all(got[2][c] == c for c in ("_gone", "_of", "_id", "_text", "hash", "first", "line"))
+
+
 def test_line_dedup_copies_with_mixed_line_lengths(spark):
     made = _lines_of_sizes(5)
     copied = ["\n".join(made(*sizes)) for sizes in ((4, 47, 75, 43, 95, 11, 49, 130), (60, 1, 70, 20, 80), (30, 60, 14), (90, 12), (3, 52, 3))]
@@ -367,27 +523,46 @@ def test_codec_parity(text):
     assert np.frombuffer(packed, np.int32).tolist() == _TRUTH.encode(text)
 
 
-def test_unigram_model_is_rebuilt():
+def model_of(vocab, kind, remove_extra, unknown=None):
+    """A model file by hand."""
     import struct
 
-    def field(n, kind, payload):
-        head = bytes([(n << 3) | kind])
-        return head + (bytes([len(payload)]) + payload if kind == 2 else payload)
+    def field(n, wire, payload):
+        head = bytes([n << 3 | wire]) if n < 16 else bytes([(n << 3 | wire) & 127 | 128, n >> 4])
+        return head + (bytes([len(payload)]) + payload if wire == 2 else payload)
 
-    def piece(text, score, kind=1):
-        body = field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind]))
-        return field(1, 2, body)
+    piece = lambda text, score, kind=1: field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+    trainer = field(3, 0, bytes([kind])) + (field(44, 2, unknown.encode()) if unknown else b"")
+    return b"".join(piece(*p) for p in vocab) + field(2, 2, trainer) + field(3, 2, field(3, 0, b"\x01") + field(4, 0, bytes([remove_extra])))
 
-    vocab = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁ab", -2.0, 1), ("▁", -3.0, 1), ("a", -3.5, 1)]
-    data = b"".join(piece(*p) for p in vocab) + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x01"))
+
+VOCAB = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁ab", -2.0, 1), ("▁", -3.0, 1), ("a", -3.5, 1), ("<", -4.0, 1), ("s", -4.5, 1), (">", -5.0, 1)]
+USER = [("<u>", 0.0, 4), ("ba", 0.0, 4), ("baa", 0.0, 4), ("sss", -1.0, 5)]
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("vocab", [VOCAB, VOCAB + USER])
+@pytest.mark.parametrize("remove_extra", [0, 1])
+def test_models_by_hand_have_parity(kind, vocab, remove_extra):
+    import sentencepiece
+
+    data = model_of(vocab, kind, remove_extra)
     m = pieces.parse_model(data)
-    assert (m.model_type, m.remove_extra, len(m.pieces)) == (pieces.UNIGRAM, True, 6)
-    codec = pieces.Codec(data)
+    assert (m.model_type, m.remove_extra, len(m.pieces)) == (kind, bool(remove_extra), len(vocab))
+    codec, truth = pieces.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for t in ("ab", "a b", "  ab   ba ", "abab", "a<s>b", "zab qq b", "q", "q a", "<unk>", "</s>", "a<u>b baab", "<u>", "<u>a ba <u><u>", "ssss", "", " "):
+        packed = codec.encode([t])[0]
+        ids = np.frombuffer(packed, np.int32).tolist()
+        assert ids == truth.encode(t), t
+        assert codec.decode([packed])[0] == truth.decode(ids), t
+
+
+def test_unknown_text_of_the_model():
     import sentencepiece
 
-    truth = sentencepiece.SentencePieceProcessor(model_proto=data)
-    for t in ("ab", "a b", "  ab   ba ", "abab"):
-        assert np.frombuffer(codec.encode([t])[0], np.int32).tolist() == truth.encode(t), t
+    data = model_of(VOCAB, pieces.UNIGRAM, 0, "[?]")
+    packed = pieces.Codec(data).encode(["azb"])
+    assert pieces.Codec(data).decode(packed) == [sentencepiece.SentencePieceProcessor(model_proto=data).decode(np.frombuffer(packed[0], np.int32).tolist())] == ["a[?]b"]
 
 
 # ---- HTML
@@ -409,6 +584,95 @@ def test_html_hard_pages(page, text):
     assert html.extract(page) == text
 
 
+ARTICLE = "<h1>Head line</h1>" + "".join(f"<p>Paragraph {i} of the article has a number of words, so that it is long enough to be the main text.</p>" for i in range(12))
+ARTICLE_TEXT = "Head line " + " ".join(f"Paragraph {i} of the article has a number of words, so that it is long enough to be the main text." for i in range(12))
+NAMES = (
+    "content has-sidebar", "post no-comments", "layout-sidebar-right", "share-price-story", "legal-news", "search-result-article", "content-form", "main-with-ads",
+    "sidebar", "ad", "comments", "form", "notice",
+)
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("around", ["div", "section", "form", "aside"])
+def test_no_name_loses_the_article(name, around):
+    page = f'<html><body><nav><a href=/>Home</a></nav><{around} class="{name}">{ARTICLE}</{around}><div class=ad>Buy now</div><footer>(c) me</footer></body></html>'
+    assert html.extract(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments", "user-replies"])
+def test_long_reader_comments_are_left_out(name):
+    readers = "".join(f"<p>Reader {i}: a long comment with very many words in it, denser than the article is itself, and so on and on.</p>" for i in range(40))
+    assert html.extract(f"<body><div>{ARTICLE}</div><div class='{name}'>{readers}</div></body>") == ARTICLE_TEXT
+
+
+def test_half_named_short_and_linked_parts_go():
+    page = f'<body><div class="wrap">{ARTICLE}<div class="post-share-box">Share this</div><div class="left-sidebar">' + "<a href=/x>Some other story of the day</a> " * 20 + "</div></div></body>"
+    assert html.extract(page) == ARTICLE_TEXT
+
+
+def density_by_hand(page):
+    """The element of the largest density sum, by recursion over a tree of another parser."""
+    import math
+    import xml.etree.ElementTree as ET
+
+    body = ET.fromstring(page).find("body")
+    size = lambda e: len("".join("".join(e.itertext()).split()))
+    linked = lambda e: [a for a in e.iter("a")]
+    total, links = size(body), sum(size(a) for a in linked(body))
+
+    def density(e):
+        c, t = size(e), sum(1 for _ in e.iter()) - 1
+        if not c:
+            return 0.0
+        lc, lt = (c, len(linked(e))) if e.tag == "a" else (sum(size(a) for a in linked(e)), len(linked(e)))
+        base = math.log(c / max(c - lc, 1) * lc + links / max(total, 1) * c + math.e)
+        ratio = (c / max(lc, 1)) * (max(t, 1) / max(lt, 1))
+        return c / max(t, 1) * max(math.log(max(ratio, 1.0)) / math.log(max(base, math.e)), 0.0)
+
+    def best(e):
+        own = len("".join(((e.text or "") + "".join(c.tail or "" for c in e)).split()))
+        value = sum(density(c) for c in e)
+        if own and e.tag in html.BLOCK:
+            value = max(value, density(e) * own / size(e))
+        return max([(value, e)] + [best(c) for c in e], key=lambda x: x[0])
+
+    return best(body)
+
+
+def test_density_sums_brute_force():
+    rng = np.random.default_rng(9)
+
+    def tree(depth):
+        words = lambda: " ".join("w" * int(k) for k in rng.integers(1, 9, rng.integers(1, 25)))
+        out = []
+        for _ in range(rng.integers(1, 5)):
+            out.append(f"<a>{words()}</a>" if rng.random() < 0.25 else f"<p>{words()} <b>{words()}</b></p>" if depth > 2 or rng.random() < 0.4 else f"<div>{tree(depth + 1)}</div>")
+        return "".join(out)
+
+    for _ in range(60):
+        page = f"<html><body>{tree(0)}</body></html>"
+        root = html.parse(page)
+        html.select(root)
+        body = next(x for x in html._order(root) if x.tag == "body")
+        nodes, found = html._best(body)
+        value, _ = density_by_hand(page)
+        assert abs(found.sum - value) < 1e-9 * max(1, value) and abs(max(x.sum for x in nodes) - value) < 1e-9 * max(1, value)
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html.extract("<div>" * n + "x" + "</b>" * n)
+        html.extract("<table><tr><td><b><td>" + "<i>" * n + "x" + "</b>" * n)
+        html.extract("<p><span><li>" * n + "y" * n)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 14 * seconds(2000) + 0.5
+
+
 def test_html_deep_and_frame(spark):
     deep = "<div>" * 20000 + "deep text" + "</div>" * 20000
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", deep), (3, "u", deep)]
