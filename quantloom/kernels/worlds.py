@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -159,75 +160,99 @@ def harvest_world(n: int, unharvested: bool, rng: np.random.Generator, edge: flo
 
 # ---- agent market
 
-#: Fixed values of the market: impact, strengths and scales of the flows, caps, noise, speeds.
-MARKET = {
-    "lam": 1.0, "kF": 0.15, "kC": 0.003, "s_c": 0.01, "kV": 0.06, "sig_target": 0.010, "Lmax": 3.0, "kM": 0.30,
-    "sN": 0.005, "sV": 0.006, "a_m": 1 / 10, "a_s": 1 / 8, "kA": 0.25, "capA": 0.01, "sA": 0.001,
-}
-COHORTS = (1 / 5, 1 / 20, 1 / 80)
-#: Configurations by the flows that are on: G noise, F value, C trend, V volatility targets, M makers, H cohorts of horizons, A anticipators.
-CONFIGS = {"G": "", "F": "F", "FC": "FC", "FV": "FV", "FCV": "FCV", "FCVM": "FCVM", "FCVMH": "FCVMH", "FCVMA": "FCVMA"}
-
 
-def leverage(sig2: np.ndarray, p: dict) -> np.ndarray:
-    return np.minimum(p["Lmax"], p["sig_target"] / np.maximum(np.sqrt(sig2), 1e-5))
+@dataclass(frozen=True)
+class Market:
+    """What the agents do and how strongly.
+
+    Fixed values: strengths, scales, caps and speeds must equal those of the published
+    experiment for its outcomes to be comparable.
+    """
+
+    # price formation and noise
+    impact: float = 1.0
+    noise: float = 0.005
+    value_step: float = 0.006
+    # strengths: pull to value, trend, volatility targets, liquidity
+    pull: float = 0.15
+    trend: float = 0.003
+    trend_scale: float = 0.01
+    trend_speed: float = 1 / 10
+    targets: float = 0.06
+    target_vol: float = 0.010
+    most_leverage: float = 3.0
+    vol_speed: float = 1 / 8
+    liquidity: float = 0.30
+    # anticipators of the flow of volatility targets: share, capital of a layer, noise of execution
+    ahead: float = 0.25
+    capital: float = 0.01
+    ahead_noise: float = 0.001
+    # speeds of the cohorts where horizons differ
+    cohorts: tuple[float, ...] = (1 / 5, 1 / 20, 1 / 80)
+
+    def leverage(self, var: np.ndarray) -> np.ndarray:
+        return np.minimum(self.most_leverage, self.target_vol / np.maximum(np.sqrt(var), 1e-5))
+
+    def flow_to_come(self, var: np.ndarray) -> np.ndarray:
+        """What volatility targets have yet to trade until variance is back at their target, mean over cohorts."""
+        return self.targets * (min(self.most_leverage, 1.0) - self.leverage(var)).mean(axis=-1)
+
+    def anticipated(self, var: np.ndarray, layers: int = 1) -> np.ndarray:
+        """Holding of all layers of anticipators: each takes its share of what the ones below it have left of
+        the flow to come, within its own capital."""
+        flow = left = self.flow_to_come(var)
+        for _ in range(max(layers, 1)):
+            left = left - np.clip(self.ahead * left, -self.capital, self.capital)
+        return flow - left
 
 
-def flow_forecast(sig2: np.ndarray, p: dict, steady: float | None = None) -> np.ndarray:
-    """Flow of volatility targeters still to come if variance goes back to its target."""
-    rest = leverage(np.full_like(sig2, (steady or p["sig_target"]) ** 2), p) - leverage(sig2, p)
-    return p["kV"] * rest.mean(axis=-1)
-
-
-def anticipated(sig2: np.ndarray, p: dict, layers: int = 0) -> np.ndarray:
-    """Inventory of anticipators: a capped part of the forecast flow, less what others already hold, by layers."""
-    f = flow_forecast(sig2, p)
-    hold = np.clip(p["kA"] * f, -p["capA"], p["capA"])
-    for _ in range(max(layers - 1, 0)):
-        hold = np.clip(p["kA"] * (f - hold), -p["capA"], p["capA"])
-    return hold
+#: Configurations by the flows that are on: G noise, F value, C trend, V volatility targets, M makers, H cohorts of horizons, A anticipators.
+CONFIGS = {"G": "", "F": "F", "FC": "FC", "FV": "FV", "FCV": "FCV", "FCVM": "FCVM", "FCVMH": "FCVMH", "FCVMA": "FCVMA"}
 
 
-def agent_market(flows: str, seeds: list[int], n: int = 6000, layers: int = 0, skew: float = 0.0, params: dict | None = None) -> np.ndarray:
-    """Returns (len(seeds), n): all seeds advance together as one vector, each with its own noise."""
-    p = MARKET | (params or {})
-    s = len(seeds)
-    gens = [np.random.default_rng(x) for x in seeds]
-    value = np.cumsum(p["sV"] * np.array([g.standard_normal(n) for g in gens]), axis=1)
-    noise = p["sN"] * np.array([g.standard_normal(n) for g in gens])
-    extra = p["sA"] * np.array([g.standard_normal(n) for g in gens])
-    speeds = np.array(COHORTS) if "H" in flows else None
-    am, asig = (speeds, speeds) if speeds is not None else (np.array([p["a_m"]]), np.array([p["a_s"]]))
-    trend, sig2 = np.zeros((s, len(am))), np.full((s, len(asig)), p["sig_target"] ** 2)
-    lev, price, last = leverage(sig2, p), np.zeros(s), np.zeros(s)
-    hold, quote = np.zeros(s), np.zeros(s)
-    out = np.empty((s, n))
+def agent_market(flows: str, seeds: list[int], n: int = 6000, layers: int = 1, lean: float = 0.0, market: Market = Market()) -> np.ndarray:
+    """Returns (len(seeds), n): all seeds advance together as one vector, each with its own noise.
+
+    Orders of day t know returns up to the day before. With ``lean`` makers move their
+    quotes by that share of the impact of the flow to come; only the change of the quote
+    is part of a day's return. Noise is drawn whole before the first day, in one order for
+    every configuration, so switching flows on or off leaves it as it is.
+    """
+    draws = np.stack([np.random.default_rng(x).standard_normal((3, n)) for x in seeds])
+    value = market.value_step * draws[:, 0].cumsum(axis=1)
+    noise, late = market.noise * draws[:, 1], market.ahead_noise * draws[:, 2]
+    many = "H" in flows
+    fast = np.array(market.cohorts if many else (market.trend_speed,))
+    slow = np.array(market.cohorts if many else (market.vol_speed,))
+    out = np.zeros((len(seeds), n))
+    drift = np.zeros((len(seeds), len(fast)))
+    var = np.full((len(seeds), len(slow)), market.target_vol**2)
+    price = before = held = quoted = np.zeros(len(seeds))
+    geared = market.leverage(var)
     for t in range(n):
-        trend += am * (last[:, None] - trend)
-        sig2 += asig * (last[:, None] ** 2 - sig2)
-        d = noise[:, t].copy()
+        drift = drift + fast * (before[:, None] - drift)
+        var = var + slow * (before[:, None] ** 2 - var)
+        orders = [noise[:, t]]
         if "F" in flows:
-            d += p["kF"] * (value[:, t] - price)
+            orders.append(market.pull * (value[:, t] - price))
         if "C" in flows:
-            d += p["kC"] * np.tanh(trend.mean(1) / p["s_c"])
+            orders.append(market.trend * np.tanh(drift.mean(axis=1) / market.trend_scale))
         if "V" in flows:
-            new = leverage(sig2, p)
-            d += p["kV"] * (new - lev).mean(1)
-            lev = new
+            wanted = market.leverage(var)
+            orders.append(market.targets * (wanted - geared).mean(axis=1))
+            geared = wanted
         if "M" in flows:
-            d -= p["kM"] * last
+            orders.append(-market.liquidity * before)
         if "A" in flows:
-            aim = anticipated(sig2, p, layers)
-            d += aim - hold + extra[:, t]
-            hold = aim
-        r = p["lam"] * d
-        if skew:
-            q = skew * p["lam"] * flow_forecast(sig2, p)
-            r = r + q - quote
-            quote = q
-        last = np.clip(r, -0.25, 0.25)
-        price = price + last
-        out[:, t] = last
+            wish = market.anticipated(var, layers)
+            orders.append(wish - held + late[:, t])
+            held = wish
+        move = market.impact * sum(orders)
+        if lean:
+            quote = lean * market.impact * market.flow_to_come(var)
+            move, quoted = move + quote - quoted, quote
+        out[:, t] = before = np.clip(move, -0.25, 0.25)
+        price = price + before
     return out
 
 
@@ -277,33 +302,50 @@ def direction_test(codes: np.ndarray, sign: np.ndarray, draws: int = 200, rng: n
     return float((mi - null.mean()) / math.log(2)), bool(mi > np.quantile(null, 0.95))
 
 
+#: The ten stylised facts with the statistics and limits that define them.
+FACTS = (
+    ("returns hardly correlate", lambda x: -0.15 <= x["ac1"] <= 0.05),
+    ("tails are fat", lambda x: 4.5 <= x["kurt"] <= 40),
+    ("sizes correlate, and for long", lambda x: x["ac1_abs"] >= 0.12 and x["ac_slow"] >= 0.05),
+    ("weekly volatility remembers eight weeks", lambda x: x["ac8_week"] >= 0.12),
+    ("losses raise volatility", lambda x: x["leverage"] <= -0.03),
+    ("tails go with volatility scaled out", lambda x: x["kurt_z"] <= 5),
+    ("shocks of volatility point up", lambda x: x["skew_week"] >= -0.35),
+    ("time has an arrow, mostly that of volatility", lambda x: x["arrow"] and x["ep_z"] <= 0.75 * x["ep_r"]),
+    ("direction is not foretold", lambda x: not x["foretold"]),
+    ("large losses outnumber large gains", lambda x: x["tail_asym"] >= 1.25),
+)
+
+
 def battery(r: np.ndarray, seed: int = 0, draws: int = 120) -> dict[str, float]:
-    """Ten stylised facts of daily returns as 0/1 events, with the statistics behind them."""
+    """The statistics of daily returns behind the stylised facts, the facts as 0/1 (E1 to E10) and their number."""
     rng = np.random.default_rng(seed)
-    c = np.concatenate([[0.0], np.cumsum(r * r)])
-    rv = np.maximum((c[5:] - c[:-5]) / 5, 1e-12)
+    size = np.abs(r)
+    # trailing variance of five days, from the first day that has five before it on
+    var = np.maximum(np.lib.stride_tricks.sliding_window_view(r * r, 5).mean(axis=1), 1e-12)
     x = r[4:]
-    z, a = x / np.sqrt(rv), np.abs(r)
-    weeks = np.log(np.maximum((r[: len(r) // 5 * 5] ** 2).reshape(-1, 5).mean(1), 1e-12))
-    phi = acf(weeks, 1)
-    u = (weeks - weeks.mean())[1:] - phi * (weeks - weeks.mean())[:-1]
-    s: dict[str, float] = {
-        "ac1": acf(r, 1), "kurt": kurt(r) + 3, "ac1_abs": acf(a, 1), "ac_slow": float(np.mean([acf(a, k) for k in range(5, 21)])),
-        "ac8_week": acf(weeks, 8), "leverage": float(np.mean([np.corrcoef(x[:-k], rv[k:])[0, 1] for k in range(1, 11)])),
-        "kurt_z": kurt(z) + 3, "skew_week": float((u**3).mean() / max(u.std() ** 3, 1e-18)),
+    scaled = x / np.sqrt(var)
+    weeks = np.log(np.maximum((r[: len(r) // 5 * 5] ** 2).reshape(-1, 5).mean(axis=1), 1e-12))
+    centred = weeks - weeks.mean()
+    shocks = centred[1:] - acf(weeks, 1) * centred[:-1]
+    past = np.lib.stride_tricks.sliding_window_view(r, 21).sum(axis=1)
+    thirds = np.argsort(np.argsort(var[16:])) * 3 // len(past)
+    state = 9 * (np.sign(r[20:]) + 1) + 3 * (np.sign(past) + 1) + thirds
+    far = 2.5 * r.std()
+    ep_r, _, arrow = ep_test(r, draws, rng=rng)
+    ep_z, _, _ = ep_test(scaled, draws, rng=rng)
+    bits, foretold = direction_test(state[:-1].astype(int), np.sign(r[21:]).astype(int), draws, rng)
+    found = {
+        "ac1": acf(r, 1),
+        "kurt": kurt(r) + 3,
+        "kurt_z": kurt(scaled) + 3,
+        "ac1_abs": acf(size, 1),
+        "ac_slow": float(np.mean([acf(size, k) for k in range(5, 21)])),
+        "ac8_week": acf(weeks, 8),
+        "skew_week": float((shocks**3).mean() / max(shocks.std() ** 3, 1e-18)),
+        "leverage": float(np.mean([np.corrcoef(x[:-k], var[k:])[0, 1] for k in range(1, 11)])),
+        "tail_asym": float((r < -far).sum() / max((r > far).sum(), 1)),
+        "ep_r": ep_r, "ep_z": ep_z, "arrow": arrow, "bits": bits, "foretold": foretold,
     }
-    ep_r, _, sig_r = ep_test(r, draws, rng=rng)
-    ep_z, _, _ = ep_test(z, draws, rng=rng)
-    mom = np.convolve(r, np.ones(21), "valid")
-    rank = np.argsort(np.argsort(rv[16:]))
-    codes = (np.sign(r[20:]) + 1) * 9 + (np.sign(mom) + 1) * 3 + rank * 3 // len(rank)
-    bits, sig_d = direction_test(codes[:-1].astype(int), np.sign(r[21:]).astype(int), draws, rng)
-    sd = r.std(ddof=0)
-    s |= {"ep_r": ep_r, "ep_z": ep_z, "bits": bits, "tail_asym": float((r < -2.5 * sd).sum() / max((r > 2.5 * sd).sum(), 1))}
-    e = [
-        -0.15 <= s["ac1"] <= 0.05, 4.5 <= s["kurt"] <= 40, s["ac1_abs"] >= 0.12 and s["ac_slow"] >= 0.05, s["ac8_week"] >= 0.12,
-        s["leverage"] <= -0.03, s["kurt_z"] <= 5, s["skew_week"] >= -0.35, sig_r and ep_z <= 0.75 * ep_r, not sig_d, s["tail_asym"] >= 1.25,
-    ]
-    return s | {f"E{k}": float(v) for k, v in enumerate(e, 1)} | {"score": float(sum(e))}
-
-
+    facts = [float(holds(found)) for _, holds in FACTS]
+    return {k: float(v) for k, v in found.items()} | {f"E{k}": v for k, v in enumerate(facts, 1)} | {"score": sum(facts)}

@@ -86,13 +86,16 @@ def traded(targets: DataFrame, rets: DataFrame, cfg: BookConfig = BookConfig(),
 
 
 def daily_weights(trades: DataFrame, rets: DataFrame) -> DataFrame:
-    """Weights at the start of each day after a rebalance, drifted in closed form, with the day's return."""
+    """Weights at the start of each day after a rebalance, drifted in closed form, with the day's return.
+
+    A book without any weight holds cash: all its weights are 0."""
     days = trades.select("k", "at").distinct().withColumn("u", F.lit(0)).withColumn("to", F.lead("at").over(Window.partitionBy("u").orderBy("at"))).drop("u")
     span = rets.join(F.broadcast(days), (F.col("date") > F.col("at")) & (F.col("to").isNull() | (F.col("date") <= F.col("to"))))
     x = span.join(trades.select("k", "asset", "w"), ["k", "asset"])
     w = Window.partitionBy("k", "asset").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     grown = x.withColumn("g", F.col("w") * F.exp(F.coalesce(F.sum("r").over(w), F.lit(0.0))))
-    return grown.withColumn("weight", F.col("g") / F.sum("g").over(Window.partitionBy("k", "date"))).select("date", "k", "asset", "weight", "r")
+    share = F.try_divide("g", F.sum("g").over(Window.partitionBy("k", "date")))
+    return grown.withColumn("weight", F.coalesce(share, F.lit(0.0))).select("date", "k", "asset", "weight", "r")
 
 
 def costs(trades: DataFrame, rets: DataFrame, cfg: BookConfig = BookConfig()) -> DataFrame:

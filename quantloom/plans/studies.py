@@ -302,7 +302,7 @@ def decathlon3(s, d):
 @study
 def decathlon4(s, d):
     """Quotes that lean against forecast flow, paired by seed."""
-    return _paired(s, "skew1", skew=1.0)
+    return _paired(s, "lean1", lean=1.0)
 
 
 @study
