@@ -51,8 +51,8 @@ fl as (select u, held, n_good, n_bad, substr(repeat(chr(2), {order}) || u, i::in
 gr as (select g, coalesce(sum(n_good) filter (not held), 0)::double as n_good, coalesce(sum(n_bad) filter (not held), 0)::double as n_bad from fl group by 1), {", ".join(parts)},
 sc as (select g, ln({good}) - ln({bad}) as s from gr{joins}),
 sd as (select u, held, n_good, n_bad, round(sum(s) / count(*), 6) as score from fl join sc using (g) group by 1, 2, 3, 4),
-w0 as (select coalesce(sum(n_good) filter (held), 0) > 0 and coalesce(sum(n_bad) filter (held), 0) > 0 as both from sd),
-w1 as (select floor(score * 100) as k, sum(n_good) as good, sum(n_bad) as bad from sd, w0 where n_good + n_bad > 0 and (held or not both) group by 1),
+w0 as (select coalesce(sum(n_good) filter (held), 0) > 0 and coalesce(sum(n_bad) filter (held), 0) > 0 as enough from sd),
+w1 as (select floor(score * 100) as k, sum(n_good) as good, sum(n_bad) as bad from sd, w0 where n_good + n_bad > 0 and (held or not enough) group by 1),
 w2 as (select k, coalesce(lag(k) over (order by k) + 1, k) as low, sum(good) over () as g, sum(bad) over () as b, coalesce(sum(good) over (order by k rows between unbounded preceding and 1 preceding), 0) as lg,
   coalesce(sum(bad) over (order by k rows between unbounded preceding and 1 preceding), 0) as lb from w1),
 lim as (select (low + k) / 200 as t from w2 where g > 0 and b > 0 order by lb * g - lg * b desc, k limit 1)
