@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: Rows handed to a Python worker at once; keeps a batch of long texts small.
-ARROW_ROWS = "256"
+ARROW_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds: long texts in batches of 10,000 would not fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bound what a Python worker holds: long texts in batches of 10,000 would not fit.
+
+    The session's setting stays lowered, since results are computed after the call; a
+    smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of
-    our own is set only where there is none, as in tests.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where it names
+    none, a folder of our own is set in local mode, as in tests; on a cluster, whose
+    executors would not see it, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quantloom-checkpoints-"))
     return df.checkpoint()
 

@@ -19,8 +19,8 @@ without shuffle for the signatures, shuffled once by id for the sets of candidat
 
 Defined cases: null or empty text has an empty set and links with nothing; fewer words
 than a shingle make one shingle of the whole sequence; a null id belongs to no component
-(null) and is kept; rows with one id are one document (equal texts) or share its fate;
-ties go to the smallest id; an empty table gives an empty result.
+(null) and is kept; rows with one id are one document, whose text is that of the smallest
+hash if there are several, and share its fate; ties go to the smallest id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, slim, small_batches
 
 BANDS, ROWS, SEED = 32, 5, 20_011
 #: Documents with a shingle that still counts as rare among open documents.
 RARE = 24
+#: Links between components to broadcast at most, two ids each; more are joined by a shuffle.
+BRIDGES = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = bytes(32 if b in _SPACE else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -102,10 +104,16 @@ def _signatures(n: int, bands: int, rows: int):
 
 
 def _sets(n: int):
+    """Sets of shingle hashes; of a document with several texts, that of the text whose key is its own."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [np.unique(shingle_hashes(word_hashes(t)[0], n)).tobytes() for t in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "s": made})
+            made = []
+            for i, text, own in zip(pdf["_id"], pdf["_text"], pdf["own"], strict=True):
+                w, canon = word_hashes(text)
+                if own is None or xxhash.xxh3_128_digest(canon) == own:
+                    made.append((i, np.unique(shingle_hashes(w, n)).tobytes()))
+            yield pd.DataFrame(made, columns=["_id", "s"])
 
     return run
 
@@ -137,6 +145,8 @@ def _overlaps(percent: int):
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b with what their sets share. ``a`` may be in many pairs (a bucket's centre): its
+    set is attached last, where its pairs lie together, and is not shuffled once per pair."""
     joined = pairs.join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b").join(
         sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a"
     )
@@ -159,42 +169,55 @@ def near_duplicates(
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     signed = cut(body.mapInPandas(_signatures(n, bands, rows), f"_id {kind}, key binary, n_shingles long, bands array<long>"))
     whole = signed.where("_id is not null and key is not null")
-    classes = cut(whole.groupBy("key").agg(F.min(F.struct("_id", "n_shingles", "bands")).alias("r")).select("key", "r.*"))
+    # of several texts with one id that of the smallest key is the document's own; the others follow it
+    ways = signed.where("_id is not null").groupBy("_id").agg(F.min("key").alias("own"), F.max("key").alias("last"), (F.count(F.lit(1)) - F.count("key")).alias("bare"))
+    torn = cut(ways.where("own <> last or bare > 0 and own is not null").select("_id", "own"))
+    whole_ids = torn.isEmpty()
+    own = whole if whole_ids else whole.join(torn, "_id", "left").where("own is null or key = own")
+    classes = cut(own.groupBy("key").agg(F.min(F.struct("_id", "n_shingles", "bands")).alias("r")).select("key", "r.*"))
     members = classes.select(F.col("_id").alias("id"), "n_shingles", F.posexplode("bands").alias("k", "v")).select(
         "id", "n_shingles", "k", F.xxhash64("k", "v").alias("bucket")
     )
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(shared, "bucket"))
+    many = members.count()  # no table of members, documents or buckets below has more rows
+    few = lambda df: slim(df, many)
+    members = few(members)
     # two centres of a bucket: the smallest id, and the one that shares most buckets with
     # others, which among edited copies of a text is the text or close to it
-    spread = members.groupBy("id").agg(F.sum("size").alias("spread"))
+    spread = few(members.groupBy("id").agg(F.sum("size").alias("spread")))
     facts = F.struct("id", F.col("n_shingles").alias("m"))
-    centres = members.join(spread, "id").groupBy("bucket").agg(
+    centres = few(members.join(spread, "id")).groupBy("bucket").agg(
         F.min(facts).alias("c0"), F.max_by(facts, F.struct("spread", F.xxhash64("id"), "id")).alias("c1")
     )
+    centres = few(cut(few(centres)))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    centres = cut(centres)
-    stars = cut(
-        members.join(centres, "bucket")
-        .select("id", "n_shingles", F.explode(F.array("c0", "c1")).alias("c"))
-        .where((F.col("id") != F.col("c.id")) & fits(F.col("n_shingles"), F.col("c.m")))
-        .select(*ordered(F.col("id"), F.col("c.id")))
-        .distinct()
+    spokes = few(members.join(centres, "bucket")).select("id", "n_shingles", F.explode(F.array("c0", "c1")).alias("c")).where(
+        (F.col("id") != F.col("c.id")) & fits(F.col("n_shingles"), F.col("c.m"))
     )
-    ids = members.select(F.col("id").alias("_id")).distinct()
-    sets = cut(body.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).mapInPandas(_sets(n), f"_id {kind}, s binary"))
-    compared = cut(_compared(stars, sets, percent))
+    spokes = spokes.groupBy(*ordered(F.col("id"), F.col("c.id"))).agg(F.min("c.id").alias("c"))
+    spokes = few(cut(few(spokes)))
+    stars = spokes.select("a", "b")
+    by_centre = spokes.select(F.col("c").alias("a"), F.when(F.col("a") == F.col("c"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    ids = few(members.select(F.col("id").alias("_id")).distinct())
+    texts = body.join(ids, "_id", "left_semi")
+    if whole_ids:
+        texts = texts.dropDuplicates(["_id"]).withColumn("own", F.lit(None).cast("binary"))
+        sets = texts.mapInPandas(_sets(n), f"_id {kind}, s binary")
+    else:
+        sets = texts.join(torn, "_id", "left").mapInPandas(_sets(n), f"_id {kind}, s binary").dropDuplicates(["_id"])
+    sets = few(cut(few(sets)))
+    compared = few(cut(few(_compared(by_centre, sets, percent))))
     edges = compared.where("linked").select("a", "b")
-    comps = cut(components(edges))
-    placed = cut(
-        members.select("id", "n_shingles", "k", "bucket")
-        .join(comps, "id", "left")
-        .select("id", "n_shingles", "k", "bucket", F.coalesce("component_id", "id").alias("comp"))
+    comps = few(cut(few(components(edges))))
+    placed = few(members.select("id", "n_shingles", "k", "bucket").join(comps, "id", "left")).select(
+        "id", "n_shingles", "k", "bucket", F.coalesce("component_id", "id").alias("comp")
     )
+    placed = few(cut(placed))
     # what is left: members of one bucket in different components
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = cut(placed.join(several, "bucket"))
+    parted = few(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
+    open_ = few(cut(few(placed.join(parted, "bucket"))))
     # Ordered by frequency among open documents, the first p = n - ceil(t n) + 1 shingles of
     # two similar sets have one in common. If it is rare, the inverted lists of rare shingles
     # find the pair; lists have RARE entries at most. Else all rare shingles of both stand
@@ -203,21 +226,21 @@ def near_duplicates(
     # from the bucket's second centre b: of b's shingles min(o, o') at most, o being the
     # overlap with b; of others, all frequent, min(f, f') at most, f being c less the
     # frequent part of o, which is o less b's rare shingles at least.
-    facts = open_.select(F.col("id").alias("_id"), "n_shingles", "comp").distinct()
+    facts = few(open_.select(F.col("id").alias("_id"), "n_shingles", "comp").distinct())
     flat = sets.join(facts.select("_id"), "_id").mapInPandas(_exploded, f"_id {kind}, h long")
     by_h = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("_id").alias("lo")).where(F.col("df") <= RARE)
     private = by_h.where("df = 1").groupBy(F.col("lo").alias("_id")).agg(F.count(F.lit(1)).alias("alone"))
-    facts = facts.join(private, "_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    facts = few(facts.join(few(private), "_id", "left")).withColumn("alone", F.coalesce("alone", F.lit(0)))
     # private shingles come first in the order and meet nothing: they are only counted
     rare = cut(flat.join(by_h.where("df > 1").select("h", "df"), "h"))
-    shared_rare = rare.groupBy("_id").agg(F.count(F.lit(1)).alias("u"))
-    facts = cut(facts.join(shared_rare, "_id", "left").withColumn("u", F.coalesce("u", F.lit(0)) + F.col("alone")))
-    open_ = open_.join(facts.select(F.col("_id").alias("id"), "u"), "id").withColumn("c", F.col("n_shingles") - F.col("u")).drop("u")
+    shared_rare = few(rare.groupBy("_id").agg(F.count(F.lit(1)).alias("u")))
+    facts = few(cut(few(facts.join(shared_rare, "_id", "left").withColumn("u", F.coalesce("u", F.lit(0)) + F.col("alone")))))
+    open_ = few(open_.join(facts.select(F.col("_id").alias("id"), "u"), "id")).withColumn("c", F.col("n_shingles") - F.col("u")).drop("u")
     base = centres.select("bucket", F.col("c1.id").alias("b0"), F.col("c1.m").alias("m0"))
-    base = base.join(facts.select(F.col("_id").alias("b0"), F.col("u").alias("u0")), "b0")
-    overlap = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "both")
+    base = few(base.join(facts.select(F.col("_id").alias("b0"), F.col("u").alias("u0")), "b0"))
+    overlap = compared.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "both")
     open_ = (
-        open_.join(base, "bucket", "left")
+        few(open_.join(base, "bucket", "left"))
         .join(overlap, (F.least("id", "b0") == F.col("x")) & (F.greatest("id", "b0") == F.col("y")), "left")
         .withColumn("o", F.when(F.col("id") == F.col("b0"), F.col("n_shingles")).otherwise(F.col("both")))
         .withColumn("f", F.coalesce(F.col("c") - F.greatest(F.col("o") - F.col("u0"), F.lit(0)), "c"))
@@ -235,14 +258,15 @@ def near_duplicates(
         .select(*ordered(F.col("id"), F.col("id2")))
     )
     reach = lambda c, n, m: 100 * c >= percent * (n + m - c)
-    least = open_.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
-    open_ = cut(open_.join(least, "bucket").where(reach(F.col("c"), F.col("n_shingles"), F.greatest("least", "c"))).drop("least"))
+    open_ = few(open_)
+    least = few(open_.groupBy("bucket").agg(F.min("n_shingles").alias("least")))
+    open_ = few(cut(open_.join(least, "bucket").where(reach(F.col("c"), F.col("n_shingles"), F.greatest("least", "c"))).drop("least")))
     # a pair counts in the first of its common bands alone
-    open_ = cut(open_.join(classes.select(F.col("_id").alias("id"), "bands"), "id"))
+    open_ = few(cut(few(open_.join(classes.select(F.col("_id").alias("id"), "bands"), "id"))))
     most = lambda c, o, f: F.least(F.least("c", c), F.least("o", o) + F.least("f", f))
-    others = open_.groupBy("bucket", F.col("comp").alias("other")).agg(
+    others = few(open_.groupBy("bucket", F.col("comp").alias("other")).agg(
         F.max("c").alias("c_"), F.max("o").alias("o_"), F.max("f").alias("f_"), F.min("n_shingles").alias("n_")
-    )
+    ))
     mine = (
         open_.join(others, "bucket")
         .where((F.col("comp") < F.col("other")) & reach(most("c_", "o_", "f_"), F.col("n_shingles"), F.col("n_")))
@@ -259,16 +283,26 @@ def near_duplicates(
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = cut(_compared(cross, sets, percent).where("linked").select("a", "b"))
+    more = few(cut(few(_compared(cross, sets, percent).where("linked").select("a", "b"))))
     if not more.isEmpty():
-        comps = components(edges.unionByName(more))
-    comps = cut(comps)
+        # links between components: few, whatever the documents
+        name = lambda c: comps.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}"))
+        ends = few(few(more.join(name("a"), "a", "left")).join(name("b"), "b", "left"))
+        ends = few(cut(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()))
+        bridged = few(cut(few(components(ends).select(F.col("id").alias("was"), F.col("component_id").alias("now")))))
+        hint = F.broadcast(bridged) if bridged.count() <= BRIDGES else bridged
+        merged = few(comps.join(hint, F.col("component_id") == F.col("was"), "left")).select("id", F.coalesce("now", "component_id").alias("component_id"))
+        # a bridge's end that was in no component before
+        alone = bridged.join(comps, F.col("was") == F.col("id"), "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component_id"))
+        comps = few(cut(few(merged.unionByName(alone))))
     groups = classes.select("key", F.col("_id").alias("id")).join(comps, "id", "left").select(
         "key", F.coalesce("component_id", "id").alias("component_id")
     )
+    rows_of = signed.select("_id", "key", "n_shingles")
+    if not whole_ids:
+        rows_of = rows_of.join(torn, "_id", "left").select("_id", F.coalesce("own", "key").alias("key"), "n_shingles")
     return (
-        signed.select("_id", "key", "n_shingles")
-        .join(cut(groups), "key", "left")
+        rows_of.join(cut(groups), "key", "left")
         .select(
             F.col("_id").alias(doc_id),
             "n_shingles",
