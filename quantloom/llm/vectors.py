@@ -24,6 +24,7 @@ smallest id; an empty table gives an empty result; labels and extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 FANOUT = 8
+#: A block's vectors take so much at most; a task holds two blocks and their products.
+BLOCK_BYTES = 32 << 20
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +57,7 @@ def _placed(axes: dict[int, np.ndarray], eps: float):
             y = [np.asarray(v) @ axes[d] for d, v in zip(pdf["d"], pdf["v"], strict=True)]
             yield pd.DataFrame(
                 {
-                    "id": pdf["id"], "n": pdf["n"], "d": pdf["d"], "y": y,
+                    "id": pdf["id"], "n": pdf["n"], "d": pdf["d"],
                     "cell": [np.floor(a / eps).astype(np.int32) for a in y],
                     "v": [np.asarray(v, np.float64).tobytes() for v in pdf["v"]],
                 }
@@ -133,11 +136,11 @@ def join_blocks(x, wx, yx, z, wz, yz, t: float, same: bool, leaf: int = 512):
     return cx, cz, *_stars(a, b, nx if same else nx + nz)
 
 
-def _joined(t: float):
+def _joined(t: float, basis: np.ndarray):
     def unpack(row, s):
         ids = np.array(row["id" + s])
         v = np.frombuffer(row["v" + s], np.float64).reshape(len(ids), -1)
-        return ids, np.array(row["n" + s], np.int64), v, np.frombuffer(row["y" + s], np.float64).reshape(len(ids), -1)
+        return ids, np.array(row["n" + s], np.int64), v, v @ basis
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,18 +159,24 @@ def _joined(t: float):
     return run
 
 
-def _packed(kind: str):
+def _packed(kind: str, bases: dict[int, np.ndarray]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g", kind="stable")
-        y = np.stack(pdf["y"].to_numpy())
+        d = int(pdf["d"].iloc[0])
+        v = b"".join(pdf["v"])
+        y = np.frombuffer(v, np.float64).reshape(len(pdf), d) @ bases[d]
         return pd.DataFrame(
-            {
-                "block": [pdf["block"].iloc[0]], "id": [pdf["id"].tolist()], "n": [pdf["n"].tolist()], "v": [b"".join(pdf["v"])],
-                "y": [y.tobytes()], "lo": [y.min(0).tolist()], "hi": [y.max(0).tolist()],
-            }
-        )
+            {"block": [pdf["block"].iloc[0]], "id": [pdf["id"].tolist()], "n": [pdf["n"].tolist()], "v": [v], "lo": [y.min(0).tolist()], "hi": [y.max(0).tolist()]}
+        )
+
+    return run, f"block long, id array<{kind}>, n array<long>, v binary, lo array<double>, hi array<double>"
 
-    return run, f"block long, id array<{kind}>, n array<long>, v binary, y binary, lo array<double>, hi array<double>"
+
+def rows_of_block(vectors: int, length: int, tasks: int) -> int:
+    """Rows to a block: few blocks, since each travels to all it is joined with, but pairs of
+    blocks enough for the tasks there are, and no block larger than ``BLOCK_BYTES``."""
+    blocks = math.ceil(math.sqrt(8 * max(tasks, 1)))
+    return max(64, min(-(-vectors // blocks), BLOCK_BYTES // (8 * length)))
 
 
 def _interval_pairs(boxes: DataFrame, eps2: float) -> DataFrame:
@@ -201,11 +210,12 @@ def similar_vectors(
     embedding: str = "embedding",
     threshold: float = 0.9,
     axes: int = 8,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """One row per vector: the id, n_links, component_id and kept."""
+    """One row per vector: the id, n_links, component_id and kept.
+
+    Blocks have ``block_rows`` rows, by default as many as ``rows_of_block`` says."""
     spark = vectors.sparkSession
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     kind = vectors.schema[vec_id].dataType.simpleString()
     eps = float(np.sqrt(max(2 - 2 * threshold, 0.0)))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -227,37 +237,44 @@ def similar_vectors(
         full[m["i"], m["j"]] = full[m["j"], m["i"]] = m["s"]
         basis = np.linalg.eigh(full)[1][:, ::-1][:, :axes]
         bases[int(d)] = np.pad(basis, ((0, 0), (0, axes - basis.shape[1])))
-    placed = unit.mapInPandas(_placed(bases, eps), f"id {kind}, n long, d int, y array<double>, cell array<int>, v binary")
+    placed = unit.mapInPandas(_placed(bases, eps), f"id {kind}, n long, d int, cell array<int>, v binary")
     ordered = placed.repartitionByRange("d", "cell", "id").sortWithinPartitions("d", "cell", "id")
-    columns = f"id {kind}, n long, d int, y array<double>, cell array<int>, v binary"
+    columns = f"id {kind}, n long, d int, cell array<int>, v binary"
     numbered = cut(ordered.mapInPandas(_numbered, f"{columns}, part int, at long").drop("cell"))
     # one row per partition, vectors of one length to a block
     sizes = numbered.groupBy("part", "d").agg(F.count(F.lit(1)).alias("m"), F.min("at").alias("from"))
+    sizes = cut(sizes)
     before = sizes.withColumn("off", F.sum("m").over(Window.partitionBy("d").orderBy("part")) - F.col("m") - F.col("from"))
     g = (F.col("off") + F.col("at")).alias("g")
+    of_length = {r["d"]: r["m"] for r in sizes.groupBy("d").agg(F.sum("m").alias("m")).collect()}  # one row per length, as above
+    tasks = spark.sparkContext.defaultParallelism
     lengths = {d: k for k, d in enumerate(sorted(bases))}
-    base = F.lit(0)
+    base, height = F.lit(0), F.lit(1)
     for d, k in lengths.items():
         base = F.when(F.col("d") == d, F.lit(k)).otherwise(base)
+        height = F.when(F.col("d") == d, F.lit(block_rows or rows_of_block(of_length[d], d, tasks))).otherwise(height)
     stride = 1 << 40
     blocked = numbered.join(before.select("part", "d", "off"), ["part", "d"]).select(
-        "id", "n", "y", "v", g, (base.cast("long") * stride + F.floor(F.expr("off + at") / block_rows)).cast("long").alias("block")
+        "id", "n", "d", "v", g, (base.cast("long") * stride + F.floor((F.col("off") + F.col("at")) / height)).cast("long").alias("block")
     )
-    pack, schema = _packed(kind)
+    pack, schema = _packed(kind, bases)
     packed = cut(blocked.groupBy("block").applyInPandas(pack, schema))
     lo_hi = [F.get("lo", F.lit(k)).alias(f"lo{k}") for k in range(axes)] + [F.get("hi", F.lit(k)).alias(f"hi{k}") for k in range(axes)]
     found = None
     eps2 = eps * eps + 1e-9
-    for k in lengths.values():
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(batch)
+    for d, k in lengths.items():
         own = packed.where(F.floor(F.col("block") / stride) == k)
         boxes = cut(own.select((F.col("block") % stride).alias("block"), *lo_hi))
         pairs = cut(_interval_pairs(boxes, eps2))
-        side = lambda s, own=own: own.select((F.col("block") % stride).alias("b" + s), *[F.col(c).alias(c + s) for c in ("id", "n", "v", "y")])
+        side = lambda s, own=own: own.select((F.col("block") % stride).alias("b" + s), *[F.col(c).alias(c + s) for c in ("id", "n", "v")])
         work = pairs.join(side("a"), "ba").join(side("b"), "bb")
-        # a row holds two blocks: few of them to a batch
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-        part = cut(work.mapInPandas(_joined(threshold), f"id {kind}, n long, root {kind}"))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set(batch, "1")  # a row holds two blocks
+        try:
+            part = cut(work.mapInPandas(_joined(threshold, bases[d]), f"id {kind}, n long, root {kind}"))
+        finally:
+            spark.conf.set(batch, rows)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"id {kind}, n long, root {kind}")
