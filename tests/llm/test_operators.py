@@ -712,3 +712,85 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(3), only).count() == 3 and toxicity.score(docs.limit(0), only).count() == 0
 
 
+
+
+def test_minhash_documents_with_several_texts(spark):
+    rng = np.random.default_rng(21)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    a, b, c = words(80), words(80), words(80)
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a)), (8, near(b)), (3, " ".join(c)), (3, None), (2, near(c)), (2, " ".join(c)), (7, None), (7, "")]
+    got = minhash.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), n=4).collect()
+    assert len(got) == len(rows)
+    comp = {i: {r["component_id"] for r in got if r["doc_id"] == i} for i, _ in rows}
+    assert all(len(x) == 1 for x in comp.values()), comp
+    # 5's own text is that of the smaller key: exactly one of 8 and 9 is near it
+    own = min((" ".join(a), 9), (" ".join(b), 8), key=lambda x: minhash.xxhash.xxh3_128_digest(minhash.word_hashes(x[0])[1]))[1]
+    assert comp[own] == {5} and comp[17 - own] == {17 - own} and comp[7] == {7}
+    assert comp[2] == comp[3] == {2}
+
+
+def test_minhash_hot_group_of_near_copies(spark):
+    rng = np.random.default_rng(22)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 60)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for k in rng.choice(60, int(rng.integers(1, 5)), replace=False):
+            w[int(k)] = f"x{rng.integers(0, 9000)}"
+        rows.append((i, " ".join(w)))
+    comp, _ = brute_components(rows, 4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, [(i, t, "en", "s") for i, t in rows]), n=4).collect()}
+    assert got == comp
+
+
+def test_blocks_follow_tasks_and_bytes():
+    assert vectors.rows_of_block(51_282, 64, 6) == 7326 and vectors.rows_of_block(100, 64, 6) == 64
+    assert vectors.rows_of_block(10**9, 768, 4000) == vectors.BLOCK_BYTES // (8 * 768)
+
+
+def test_toxicity_brute_force(spark):
+    """Features, ratios and scores by plain loops; the weights by another optimiser."""
+    import math
+    import zlib
+
+    rng = np.random.default_rng(31)
+    word = lambda a: "".join(rng.choice(list(a), 4))
+    rows = [(i, " ".join([word("aeioutrn") for _ in range(12)] + (["grobnik"] if i % 4 == 0 and rng.random() < 0.9 else []))) for i in range(160)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), min_share=0.05, penalty=0.01, rounds=4000)
+    train = [(t, y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+
+    def bucket(gram):  # the published fold: polynomial over code points, order mixed in, top bits of a multiply-xorshift
+        m = 2**64 - 1
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x100000001B3 + ord(c)) & m
+        x = ((h ^ len(gram)) * 0x9E3779B97F4A7C15) & m
+        return (((x ^ (x >> 32)) * 0x9E3779B97F4A7C15) & m) >> (64 - toxicity.BITS)
+
+    def held(t):
+        s = f" {t.lower()} "
+        return {bucket(s[k : k + n]) for n in (3, 4, 5, 6) for k in range(len(s) - n + 1)}
+
+    sets = [held(t) for t, _ in train]
+    y = np.array([y for _, y in train], float)
+    pos, neg = int(y.sum()), int((1 - y).sum())
+    p, n = Counter(b for s, v in zip(sets, y, strict=True) if v for b in s), Counter(b for s, v in zip(sets, y, strict=True) if not v for b in s)
+    wanted = sorted(b for b, c in p.items() if c >= max(3, math.ceil(0.05 * pos)))
+    assert model.buckets.tolist() == wanted
+    ratio = np.array([math.log((p[b] + 1) / (pos + 2)) - math.log((n[b] + 1) / (neg + 2)) for b in wanted])
+    x = np.array([[float(b in s) for b in wanted] for s in sets]) * ratio
+    w, bias = np.zeros(len(wanted)), 0.0
+    for _ in range(60):  # Newton's method
+        q = 1 / (1 + np.exp(-(x @ w + bias)))
+        z = np.column_stack([x, np.ones(len(x))])
+        g = np.append(x.T @ (q - y) / len(y) + 0.01 * w, (q - y).mean())
+        hess = (z * (q * (1 - q))[:, None]).T @ z / len(y) + np.diag([0.01] * len(w) + [1e-12])
+        step = np.linalg.solve(hess, g)
+        w, bias = w - step[:-1], bias - step[-1]
+    for r in toxicity.score(docs, model).collect():
+        s = held(rows[r["doc_id"]][1])
+        want = 1 / (1 + math.exp(-(bias + sum(a * b for a, b, c in zip(w, ratio, wanted, strict=True) if c in s))))
+        assert abs(r["score"] - want) < 2e-3 and r["predicted"] == int(r["score"] >= 0.5)
