@@ -178,6 +178,24 @@ class Rough:
         return np.exp(self.beta[0] + self.beta[1] * s + self.s2 / 2)
 
 
+def lever_vol(r: np.ndarray, first: int = 252, every: int = 21, halflife: float = 21.0) -> np.ndarray:
+    """Annual volatility that a book's own returns foretell for the next row.
+
+    Squares on their 1, 5 and 22 row means by least squares, refitted on all pairs that
+    have ended; the exponentially weighted deviation before the first fit."""
+    sq = r * r
+    x = np.column_stack([np.ones(len(r)), trailing_means(sq)])
+    plain = EwmMoments(halflife)
+    out = np.array([plain.step(float(v))[1] for v in r]) if len(r) else np.zeros(0)
+    beta = None
+    for t in range(first, len(r)):
+        if beta is None or t % every == 0:
+            beta = np.linalg.lstsq(x[21:t], sq[22 : t + 1], rcond=None)[0]
+        if np.isfinite(x[t]).all():
+            out[t] = math.sqrt(max(float(x[t] @ beta), 1e-10))
+    return out * math.sqrt(252)
+
+
 def walk_forward_variance(r: np.ndarray, rv: np.ndarray, first: int = 750, every: int = 21, garch_every: int = 63) -> dict[str, np.ndarray]:
     """Forecast of each row's variance from earlier rows by four models, refitted on expanding windows."""
     n = len(r)

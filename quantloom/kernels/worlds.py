@@ -109,6 +109,12 @@ def clock_world(n: int, assets: int, rng: np.random.Generator, rho_eps: float =
     return r, vol**2
 
 
+def reversible_world(n: int, rng: np.random.Generator, s2: float = 0.15, rho: float = 0.98, shape: float = 3.7) -> tuple[np.ndarray, np.ndarray]:
+    """Returns and measured variances whose volatility does not know the returns: time has no arrow."""
+    r, var = sv_world(n, rng, s2, rho)
+    return r, var * rng.gamma(shape, 1 / shape, n)
+
+
 def volofvol_world(n: int, assets: int, rng: np.random.Generator, switching: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Variances whose own volatility switches between calm and agitated (or stays), with joint shocks when agitated."""
     state, w = 0, np.empty(n)
@@ -215,12 +221,13 @@ def agent_market(flows: str, seeds: list[int], n: int = 6000, layers: int = 1, l
 
     Orders of day t know returns up to the day before. With ``lean`` makers move their
     quotes by that share of the impact of the flow to come; only the change of the quote
-    is part of a day's return. Noise is drawn whole before the first day, in one order for
-    every configuration, so switching flows on or off leaves it as it is.
+    is part of a day's return. A day draws its step of value, its noise and, with
+    anticipators, that of their execution, in this order, as in the published runs.
     """
-    draws = np.stack([np.random.default_rng(x).standard_normal((3, n)) for x in seeds])
-    value = market.value_step * draws[:, 0].cumsum(axis=1)
-    noise, late = market.noise * draws[:, 1], market.ahead_noise * draws[:, 2]
+    kinds = 3 if "A" in flows else 2
+    draws = np.stack([np.random.default_rng(x).standard_normal((n, kinds)) for x in seeds])
+    value = market.value_step * draws[:, :, 0].cumsum(axis=1)
+    noise, late = market.noise * draws[:, :, 1], market.ahead_noise * draws[:, :, -1]
     many = "H" in flows
     fast = np.array(market.cohorts if many else (market.trend_speed,))
     slow = np.array(market.cohorts if many else (market.vol_speed,))
@@ -325,9 +332,10 @@ def battery(r: np.ndarray, seed: int = 0, draws: int = 120) -> dict[str, float]:
     var = np.maximum(np.lib.stride_tricks.sliding_window_view(r * r, 5).mean(axis=1), 1e-12)
     x = r[4:]
     scaled = x / np.sqrt(var)
-    weeks = np.log(np.maximum((r[: len(r) // 5 * 5] ** 2).reshape(-1, 5).mean(axis=1), 1e-12))
+    weeks = np.log(np.maximum(r[: len(r) // 5 * 5] ** 2, 1e-12)).reshape(-1, 5).mean(axis=1)
     centred = weeks - weeks.mean()
-    shocks = centred[1:] - acf(weeks, 1) * centred[:-1]
+    phi = np.cov(centred[:-1], centred[1:])[0, 1] / max(centred[:-1].var(), 1e-18)
+    shocks = centred[1:] - phi * centred[:-1]
     past = np.lib.stride_tricks.sliding_window_view(r, 21).sum(axis=1)
     thirds = np.argsort(np.argsort(var[16:])) * 3 // len(past)
     state = 9 * (np.sign(r[20:]) + 1) + 3 * (np.sign(past) + 1) + thirds

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import average_rank, corr_pop, expanding, guarded, ordered, past_only, safe_div, safe_ln
-
+from ..functions.exprs import average_rank, corr_pop, ordered, past_only, safe_div, safe_ln
+from .expanding import expanding_quantiles
 
 
 def crash_labels(prices: DataFrame, horizon: int = 20, q: float = 0.05, min_history: int = 504, lower: bool = True, causal: bool = False) -> DataFrame:
@@ -16,9 +16,7 @@ def crash_labels(prices: DataFrame, horizon: int = 20, q: float = 0.05, min_hist
     only those that have ended by t. The last rows have no label."""
     lag = horizon if causal else 1
     x = prices.withColumn("fwd", F.round(safe_ln(safe_div(F.lead("close", horizon).over(ordered()), "close")), 10))
-    w = expanding(lag=lag)
-    t = guarded(F.percentile("fwd", F.lit(q if lower else 1 - q)), "fwd", w, min_history)
-    x = x.withColumn("threshold", t)
+    x = expanding_quantiles(x, "fwd", {"threshold": q if lower else 1 - q}, lag=lag, least=min_history)
     hit = F.col("fwd") < F.col("threshold") if lower else F.col("fwd") > F.col("threshold")
     return x.withColumn("label", F.when(F.col("fwd").isNotNull() & F.col("threshold").isNotNull(), hit.cast("int")))
 

@@ -158,9 +158,11 @@ def ks_two_sample(x: DataFrame, group: str, value: str, pairs: DataFrame) -> Dat
     """Two-sample Kolmogorov-Smirnov distance for the given pairs (a, b) of groups.
 
     Both samples of a pair are stacked and counted up in value order; ties count together."""
-    s = x.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    both = pairs.join(s, (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
-    grouped = both.groupBy("a", "b", "v").agg(F.sum((F.col("g") == F.col("a")).cast("long")).alias("na"), F.sum((F.col("g") == F.col("b")).cast("long")).alias("nb"))
+    s = x.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # a group goes to each pair that it is in, by an equi-join
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("g"), F.lit(1).alias("first")), F.struct(F.col("b").alias("g"), F.lit(0).alias("first")))).alias("z"), "a", "b")
+    both = s.join(sides.select("z.*", "a", "b"), "g")
+    grouped = both.groupBy("a", "b", "v").agg(F.sum(F.col("n") * F.col("first")).alias("na"), F.sum(F.col("n") * (1 - F.col("first"))).alias("nb"))
     by = Window.partitionBy("a", "b")
     run = by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     gap = F.abs(F.sum("na").over(run) / F.sum("na").over(by) - F.sum("nb").over(run) / F.sum("nb").over(by))

@@ -101,11 +101,7 @@ def horserace(feats: DataFrame, first: int = 750, every: int = 63) -> DataFrame:
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         x, e = p[["r", "logvol"]].to_numpy(float), p["engine"].iloc[0]
         if e == "jump":
-            score = np.full(len(x), np.nan)
-            for t in range(first, len(x), every):
-                m = H.JumpModel().fit(x[:t])
-                end = min(t + every, len(x))
-                score[t:end] = m.predictive_logpdf(m.online(x[:end])[t - 1 : end - 1], x[t:end, 0])
+            score = jump_scores(x, 16.0, first, every)
         else:
             score = H.walk_forward(x, ENGINES[e], first, every)["score"]
         ok = np.isfinite(score)
@@ -114,6 +110,90 @@ def horserace(feats: DataFrame, first: int = 750, every: int = 63) -> DataFrame:
     return per_series(feats.crossJoin(engines), ["engine"], fn, "n long, mean_logscore double")
 
 
+def features_range(rets: DataFrame, gk: DataFrame, window: int = 10, least: int = 5) -> DataFrame:
+    """Return and log of the annual volatility from the market's mean range variance (floored)."""
+    mk = gk.where("gk_var is not null").groupBy("date").agg(F.avg("gk_var").alias("gk_var"))
+    w = trailing(window, ("u",))
+    vol = F.when(F.count("gk_var").over(w) >= least, F.sqrt(F.avg("gk_var").over(w) * 252))
+    return rets.join(mk, "date").withColumn("logvol", F.log(F.greatest(vol, F.lit(1e-4)))).where("logvol is not null").select("u", "date", "r", "logvol")
+
+
+#: Regime models by name: Gaussian and Student-t with two to five states, durations, jumps.
+REGIME_MODELS: dict[str, Callable[[], H.HMM] | None] = {
+    **{f"G{k}": (lambda k=k: H.HMM(k=k)) for k in (2, 3, 4, 5)},
+    **{f"T{k}": (lambda k=k: H.HMM(k=k, student=True)) for k in (2, 3, 4, 5)},
+    "Dur3x3": lambda: H.HMM(sub=3),
+    "SJM3": None,
+}
+
+
+def jump_scores(x: np.ndarray, jump: float, first: int, every: int) -> np.ndarray:
+    """Log-density of each next return under the jump model, refitted on expanding windows."""
+    score = np.full(len(x), np.nan)
+    for t in range(first, len(x), every):
+        m, end = H.JumpModel(jump=jump).fit(x[:t]), min(t + every, len(x))
+        score[t:end] = m.predictive_logpdf(m.online(x[:end])[t - 1 : end - 1], x[t:end, 0])
+    return score
+
+
+def model_scores(feats: DataFrame, first: int = 750, every: int = 21) -> DataFrame:
+    """u, model, date, logscore: walk-forward predictive log-densities of all regime models; a model is one group."""
+    names = feats.sparkSession.createDataFrame([(m,) for m in REGIME_MODELS], "model string")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        x, make = p[["r", "logvol"]].to_numpy(float), REGIME_MODELS[p["model"].iloc[0]]
+        score = jump_scores(x, 16.0, first, every) if make is None else H.walk_forward(x, make, first, every)["score"]
+        return pd.DataFrame({"date": p["date"], "logscore": score})[np.isfinite(score)]
+
+    return per_series(feats.crossJoin(F.broadcast(names)), ["u", "model"], fn, "date timestamp, logscore double")
+
+
+def scores_confidence_set(scores: DataFrame, alpha: float = 0.1, draws: int = 1000) -> DataFrame:
+    """Per model: mean log score, p-value and whether it stays in the confidence set of the best."""
+    models = list(REGIME_MODELS)
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        wide = p.pivot(index="date", columns="model", values="logscore")[models].dropna().to_numpy()
+        if len(wide) < 2:
+            return pd.DataFrame({"model": models, "score": np.nan, "p": np.nan, "kept": 0})
+        alive, pv = N.confidence_set(-wide, alpha, draws)
+        return pd.DataFrame({"model": models, "score": wide.mean(0), "p": [pv[k] for k in range(len(models))], "kept": [int(k in alive) for k in range(len(models))]})
+
+    return per_series(scores, ["u"], fn, "model string, score double, p double, kept int")
+
+
+def jump_penalties(feats: DataFrame, penalties=(2.0, 4.0, 8.0, 16.0, 32.0, 64.0), first: int = 750, every: int = 21, tune: float = 0.5) -> DataFrame:
+    """Mean score by penalty on the first ``tune`` part of the predictions, which choose it; the rest stays unseen."""
+    dim = feats.sparkSession.createDataFrame([(v,) for v in penalties], "penalty double")
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        x = p[["r", "logvol"]].to_numpy(float)
+        score = jump_scores(x[: first + int(max(len(x) - first, 0) * tune)], float(p["penalty"].iloc[0]), first, every)
+        ok = np.isfinite(score)
+        return pd.DataFrame({"n": [int(ok.sum())], "score": [float(score[ok].mean()) if ok.any() else np.nan]})
+
+    got = per_series(feats.crossJoin(F.broadcast(dim)), ["u", "penalty"], fn, "n int, score double")
+    best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc_nulls_last("score"), "penalty")) == 1
+    return got.withColumn("chosen", best.cast("int"))
+
+
+def spectral_ratios(gk: DataFrame, window: int = 60) -> DataFrame:
+    """Power of log volatility below a quarter of the frequencies over that above, in each trailing window of past rows."""
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        x = 0.5 * np.log(p["gk_var"].to_numpy(float))
+        if len(x) <= window:
+            return pd.DataFrame({"date": p["date"], "ratio": np.nan})
+        past = np.lib.stride_tricks.sliding_window_view(x, window)[:-1]
+        f = np.abs(np.fft.rfft(past - past.mean(1, keepdims=True), axis=1)) ** 2
+        cut = f.shape[1] // 4
+        low, high = f[:, 1:cut].sum(1), f[:, cut:].sum(1)
+        ratio = np.divide(low, high, out=np.full(len(low), np.nan), where=high > 0)
+        return pd.DataFrame({"date": p["date"], "ratio": np.concatenate([np.full(window, np.nan), ratio])})
+
+    return per_series(gk.where("gk_var is not null"), ["asset"], fn, "date timestamp, ratio double")
+
+
 # ---- volatility
 
 
@@ -145,16 +225,20 @@ def ewm_moments(x: DataFrame, halflife: float = 21.0, value: str = "r", by: str
     return per_series(x.where(F.col(value).isNotNull()), [by], fn, "date timestamp, ewm_mean double, ewm_std double")
 
 
-def exposure(rets: DataFrame, target: float = 0.13, cap: float = 1.5, span: int = 5, halflife: float = 21.0, by: str = "u") -> DataFrame:
-    """Lever (target over trailing volatility) times the brakes (column brake), smoothed and capped; for the next row."""
+def exposure(rets: DataFrame, target: float = 0.13, cap: float = 1.5, span: int = 5, halflife: float = 21.0, by: str = "u", forecast: bool = False, tilt: float = 0.0) -> DataFrame:
+    """Lever (target over trailing volatility, or over its forecast) times the brakes (column brake),
+    smoothed and capped; for the next row. With a tilt the product leans by that share with the
+    sign of the market's momentum (column momentum), inside the cap."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         vol, smooth = M.EwmMoments(halflife), M.EwmMoments.of_span(span)
+        r = p["r"].to_numpy(float)
+        ahead = M.lever_vol(r) if forecast else np.array([vol.step(v)[1] * 252**0.5 for v in r])
+        lean = 1 + tilt * np.sign(np.nan_to_num(p["momentum"].to_numpy(float))) if tilt else np.ones(len(p))
         lever, out = [], []
-        for r, b in zip(p["r"], p["brake"], strict=True):
-            s = vol.step(r)[1] * 252**0.5
+        for s, b, m in zip(ahead, p["brake"], lean, strict=True):
             lever.append(min(target / s, cap) if s == s and s > 0 else 1.0)
-            out.append(min(max(smooth.step(lever[-1] * b)[0], 0.0), cap))
+            out.append(min(max(smooth.step(lever[-1] * b * m)[0], 0.0), cap))
         return pd.DataFrame({"date": p["date"], "lever": lever, "exposure": out})
 
     return per_series(rets, [by], fn, "date timestamp, lever double, exposure double")
@@ -320,7 +404,7 @@ def hedge_weights(experts: DataFrame, eta: float = 0.05, share: float = 0.005) -
 # ---- information and irreversibility
 
 
-def knn_information(x: DataFrame, a: str, b: str, shuffles: int = 3, by: str = "asset", seed: int = 0) -> DataFrame:
+def knn_information(x: DataFrame, a: str, b: str, shuffles: int = 5, by: str = "asset", seed: int = 0) -> DataFrame:
     """Nearest-neighbour information net of shuffles per series."""
     fn = lambda p: pd.DataFrame({"n": [len(p)], "nats": [N.ksg_net(p[a].to_numpy(float), p[b].to_numpy(float), shuffles, seed=seed)]})
     return per_series(x.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [by], fn, "n long, nats double")
@@ -336,7 +420,7 @@ def entropy_test(x: DataFrame, value: str, draws: int = 200, by: str = "asset",
     return per_series(x.where(F.col(value).isNotNull()), [by], fn, "ep double, null95 double, significant int")
 
 
-def direction_bits(x: DataFrame, codes: str, sign: str, draws: int = 100, by: str = "asset", seed: int = 0) -> DataFrame:
+def direction_bits(x: DataFrame, codes: str, sign: str, draws: int = 200, by: str = "asset", seed: int = 0) -> DataFrame:
     """Bits about the next sign per series, net and tested against permutations."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
@@ -346,12 +430,8 @@ def direction_bits(x: DataFrame, codes: str, sign: str, draws: int = 100, by: st
     return per_series(x, [by], fn, "bits double, significant int")
 
 
-def incremental_auc(x: DataFrame, base: list[str], more: list[str], label: str = "label", every: int = 252, first: int = 756, embargo: int = 20, by: str = "asset") -> DataFrame:
-    """Walk-forward logistic scores with and without the further features, and their areas under the curve."""
-
-    def auc(s: np.ndarray, y: np.ndarray) -> float:
-        k = y.sum()
-        return float((K.average_ranks(s)[y == 1].sum() - k * (k + 1) / 2) / (k * (len(y) - k))) if 0 < k < len(y) else np.nan
+def incremental_scores(x: DataFrame, base: list[str], more: list[str], label: str = "label", every: int = 252, first: int = 756, embargo: int = 20, by: str = "asset") -> DataFrame:
+    """Walk-forward logistic scores of each row without (base) and with (all) the further features, and its label."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         y, f = p[label].to_numpy(float), {"base": p[base].to_numpy(float), "all": p[[*base, *more]].to_numpy(float)}
@@ -364,13 +444,22 @@ def incremental_auc(x: DataFrame, base: list[str], more: list[str], label: str =
                     w = K.logistic_fit((z[tr] - mu) / sd, y[tr])
                     out[k][t : t + every] = w[0] + (z[t : t + every] - mu) / sd @ w[1:]
         ok = np.isfinite(out["base"])
-        a, b = (auc(out[k][ok], y[ok]) for k in ("base", "all"))
-        return pd.DataFrame({"n": [int(ok.sum())], "auc_base": [a], "auc_all": [b], "gain": [b - a]})
+        return pd.DataFrame({"date": p["date"], "base": out["base"], "all": out["all"], "label": y})[ok]
 
     full = x.where(F.col(label) >= 0)
     for c in (*base, *more):
         full = full.where(F.col(c).isNotNull())
-    return per_series(full, [by], fn, "n long, auc_base double, auc_all double, gain double")
+    return per_series(full, [by], fn, "date timestamp, base double, all double, label double")
+
+
+def incremental_auc(x: DataFrame, base: list[str], more: list[str], label: str = "label", every: int = 252, first: int = 756, embargo: int = 20, by: str = "asset") -> DataFrame:
+    """Areas under the curve of the walk-forward scores with and without the further features; null where a label is missing."""
+    from .events import auc
+
+    s = incremental_scores(x, base, more, label, every, first, embargo, by)
+    a, b = (auc(s, c, "label", (by,)).withColumnRenamed("auc", f"auc_{c}") for c in ("base", "all"))
+    n = s.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(a, by).join(b, by).withColumn("gain", F.col("auc_all") - F.col("auc_base"))
 
 
 # ---- agent market

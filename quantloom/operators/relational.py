@@ -10,14 +10,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: tuple[str, ...], value: str
     """``left`` with the last ``value`` of ``right`` at or before each row's time.
 
     Both sides are stacked and carried forward in one sorted window per key: a single
-    shuffle, no inequality join. ``limit`` bounds the number of stacked rows looked back.
-    ``right`` has one row per key and time."""
+    shuffle, no inequality join. With ``limit`` a value reaches its own and that many
+    further rows of ``left``, as a bounded forward fill. ``right`` has one row per key and time."""
     names = left.columns
     lhs = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1))
     rhs = right.select(*[F.col(c) if c in (*by, on) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(*by).orderBy(on, "_side")
-    w = order.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
-    return lhs.unionByName(rhs).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*names, value)
+    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = lhs.unionByName(rhs).withColumn("_n", F.sum("_side").over(w))  # rows of left so far
+    last = F.last(F.when(F.col("_v").isNotNull(), F.struct("_v", "_n")), ignorenulls=True).over(w)
+    near = F.lit(True) if limit is None else F.col("_n") - F.col("_last._n") <= limit + 1
+    return both.withColumn("_last", last).where("_side = 1").select(*names, F.when(near, F.col("_last._v")).alias(value))
 
 
 def reanchor(bars: DataFrame, events: DataFrame, price: str = "close") -> DataFrame:

@@ -86,10 +86,11 @@ def clean_panel(
     has a price on at least ``min_coverage`` of them.
     """
     p = prices.where(F.col(price).isNotNull()).select("asset", "date", F.col(price).alias("close"))
-    spine = p.select("date").distinct()
-    n_dates = spine.agg(F.count(F.lit(1)).alias("n_dates"))
-    kept = p.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).crossJoin(n_dates).where(F.col("n") >= min_coverage * F.col("n_dates")).select("asset")
-    grid = spine.join(F.broadcast(kept)).join(p, ["asset", "date"], "left")
+    # the dates of the panel as one row: a calendar has some thousands, whatever the assets
+    spine = p.select("date").distinct().agg(F.collect_list("date").alias("dates"))
+    sizes = p.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(spine))
+    kept = sizes.where(F.col("n") >= min_coverage * F.size("dates"))
+    grid = kept.select("asset", F.explode("dates").alias("date")).join(p, ["asset", "date"], "left")
     filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(ordered().rowsBetween(-max_ffill, 0)))
     n_assets = kept.agg(F.count(F.lit(1)).alias("n_assets"))
     whole = filled.where("close is not null").groupBy("date").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n_assets), F.col("n") == F.col("n_assets")).select("date")
@@ -107,12 +108,12 @@ def flatten_bad_ticks(prices: DataFrame, bad_tick: float) -> DataFrame:
     return step.select("asset", "date", (first * F.exp(grown)).alias("close"))
 
 
-def regimes_by_vol(rets: DataFrame, n: int = 20) -> DataFrame:
-    """A causal-window stand-in for model regimes: terciles of trailing volatility (0 calm, 2 stressed)."""
-    vol = rets.withColumn("vol", F.round(F.sqrt(F.avg(F.col("r") * F.col("r")).over(trailing(n, ("u",)))), 10))
-    cuts = vol.agg(F.percentile("vol", F.lit(1 / 3)).alias("a"), F.percentile("vol", F.lit(2 / 3)).alias("b"))
-    return vol.join(F.broadcast(cuts)).select(
-        "date", "r", (F.when(F.col("vol") > F.col("b"), 2).when(F.col("vol") > F.col("a"), 1).otherwise(0)).cast("int").alias("regime")
-    )
-
+def regimes_by_vol(rets: DataFrame, n: int = 20, least: int = 60) -> DataFrame:
+    """A plain rule beside the model regimes: trailing volatility against the terciles of all earlier
+    days (0 calm, 2 stressed); the middle one before ``least`` of them. Later days change nothing."""
+    from .operators.expanding import expanding_quantiles
 
+    vol = rets.withColumn("vol", F.round(F.sqrt(F.avg(F.col("r") * F.col("r")).over(trailing(n, ("u",)))), 10))
+    cut = expanding_quantiles(vol.select("u", "date", "r", "vol"), "vol", {"a": 1 / 3, "b": 2 / 3}, by="u", least=least)
+    kind = F.when(F.col("a").isNull(), 1).when(F.col("vol") > F.col("b"), 2).when(F.col("vol") > F.col("a"), 1).otherwise(0)
+    return cut.select("date", "r", kind.cast("int").alias("regime"))

@@ -41,6 +41,7 @@ class BookConfig:
     dd_floor: float = 0.20
     floor: float = 0.25
     financing: float = 0.035
+    forecast: bool = True
     tilt: float = 0.15
 
 
@@ -58,15 +59,25 @@ def target_weights(rets: DataFrame, signals: DataFrame, value: str, cfg: BookCon
     return X.per_series(win.join(s, ["at", "asset"], "left"), ["at"], fn, "asset string, w double")
 
 
+def holding_periods(ats: DataFrame, rets: DataFrame) -> DataFrame:
+    """date, at, k: of each date the last rebalance before it and its number, carried forward over the dates.
+
+    The dates are numbered in one ordered group of some thousand rows; rows join it by equality."""
+    days = rets.select("date").unionByName(ats.select(F.col("at").alias("date"))).distinct().join(ats.select(F.col("at").alias("date"), F.lit(1).alias("new")), "date", "left")
+    w = Window.partitionBy(F.lit("all")).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    held = days.withColumn("at", F.max(F.when(F.col("new") == 1, F.col("date"))).over(w)).withColumn("k", F.sum("new").over(w).cast("int"))
+    return held.where("at is not null").select("date", "at", "k")
+
+
 def traded(targets: DataFrame, rets: DataFrame, cfg: BookConfig = BookConfig(), banded: bool = True) -> DataFrame:
     """k, at, asset, w, dw: weights after trading at each rebalance, against the drifted weights of the one before.
 
     One ordered group: as many steps as there are rebalances."""
-    days = targets.select("at").distinct().withColumn("u", F.lit(0)).withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("at"))).drop("u")
-    nxt = days.withColumn("u", F.lit(0)).withColumn("to", F.lead("at").over(Window.partitionBy("u").orderBy("at"))).drop("u")
-    held = rets.join(F.broadcast(nxt), (F.col("date") > F.col("at")) & (F.col("date") <= F.col("to")))
+    ats = targets.select("at").distinct()
+    days = ats.withColumn("k", F.row_number().over(Window.partitionBy(F.lit("all")).orderBy("at")))
+    held = rets.join(holding_periods(ats, rets), "date")
     growth = held.groupBy("k", "asset").agg(F.exp(F.sum("r")).alias("g"))
-    rows = targets.join(F.broadcast(days), "at").join(growth, ["k", "asset"], "left").withColumn("book", F.lit("book"))
+    rows = targets.join(days, "at").join(growth, ["k", "asset"], "left").withColumn("book", F.lit("book"))
     band = cfg.band if banded else 0.0
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
@@ -89,8 +100,7 @@ def daily_weights(trades: DataFrame, rets: DataFrame) -> DataFrame:
     """Weights at the start of each day after a rebalance, drifted in closed form, with the day's return.
 
     A book without any weight holds cash: all its weights are 0."""
-    days = trades.select("k", "at").distinct().withColumn("u", F.lit(0)).withColumn("to", F.lead("at").over(Window.partitionBy("u").orderBy("at"))).drop("u")
-    span = rets.join(F.broadcast(days), (F.col("date") > F.col("at")) & (F.col("to").isNull() | (F.col("date") <= F.col("to"))))
+    span = rets.join(holding_periods(trades.select("at").distinct(), rets).drop("at"), "date")
     x = span.join(trades.select("k", "asset", "w"), ["k", "asset"])
     w = Window.partitionBy("k", "asset").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     grown = x.withColumn("g", F.col("w") * F.exp(F.coalesce(F.sum("r").over(w), F.lit(0.0))))
@@ -106,10 +116,20 @@ def costs(trades: DataFrame, rets: DataFrame, cfg: BookConfig = BookConfig()) ->
     return x.groupBy(F.col("next").alias("date")).agg((F.sum(F.abs("dw") * (cfg.commission + cfg.spread + hit)) / 1e4).alias("cost"), F.sum(F.abs("dw")).alias("turnover"))
 
 
-def overlay(gross: DataFrame, cfg: BookConfig = BookConfig()) -> DataFrame:
-    """date, u, gross, exposure (of the day before) from the book's own returns."""
+def momentum_of_market(rets: DataFrame, rows: int = 21) -> DataFrame:
+    """date, momentum: sum of the equal-weight market's last returns; none before there are so many."""
+    m = rets.groupBy("date").agg(F.avg("r").alias("m"))
+    w = Window.partitionBy(F.lit("all")).orderBy("date").rowsBetween(-(rows - 1), 0)
+    return m.select("date", F.when(F.count("m").over(w) >= rows, F.sum("m").over(w)).alias("momentum"))
+
+
+def overlay(gross: DataFrame, cfg: BookConfig = BookConfig(), rets: DataFrame | None = None) -> DataFrame:
+    """date, u, gross, exposure (of the day before) from the book's own returns, leaning with the market's momentum if ``rets`` are given."""
     b = exposure_brakes(gross, cfg.cvar_target, cfg.dd_start, cfg.dd_floor, cfg.floor)
-    e = X.exposure(b, cfg.target_vol, cfg.max_exposure)
+    tilt = cfg.tilt if rets is not None else 0.0
+    if tilt:
+        b = b.join(momentum_of_market(rets), "date", "left")
+    e = X.exposure(b, cfg.target_vol, cfg.max_exposure, forecast=cfg.forecast, tilt=tilt)
     x = gross.join(e.select("date", "lever", "exposure"), "date")
     lag = F.coalesce(F.lag("exposure").over(Window.partitionBy("u").orderBy("date")), F.lit(1.0))
     return x.select("date", "u", F.col("r").alias("gross"), "lever", lag.alias("exposure"))
@@ -122,7 +142,7 @@ def run_book(rets: DataFrame, regimes: DataFrame, cfg: BookConfig = BookConfig()
     trades = staged(traded(target_weights(rets, sig, value, cfg), rets, cfg).drop("book"))
     daily = staged(daily_weights(trades, rets))
     gross = daily.groupBy("date").agg(F.sum(F.col("weight") * (F.exp("r") - 1)).alias("r")).withColumn("u", F.lit("book"))
-    o = overlay(gross, cfg).join(costs(trades, rets, cfg), "date", "left").na.fill(0.0, ["cost", "turnover"])
+    o = overlay(gross, cfg, rets).join(costs(trades, rets, cfg), "date", "left").na.fill(0.0, ["cost", "turnover"])
     fin = F.greatest(F.col("exposure") - 1, F.lit(0.0)) * (cfg.financing / 252)
     net = o.withColumn("net", F.col("gross") * F.col("exposure") - F.col("cost") - fin)
     return {"trades": trades, "daily": daily, "net": net}
@@ -173,8 +193,9 @@ def statarb_sleeve(scores: DataFrame, rets: DataFrame, enter: float = 1.25, leav
     p = X.per_series(scores, ["asset"], fn, "at timestamp, position int", order="at")
     w = p.withColumn("w", F.coalesce(F.try_divide(F.col("position"), F.sum(F.abs("position")).over(Window.partitionBy("at"))), F.lit(0.0)))
     by = Window.partitionBy("asset").orderBy("at")
-    w = w.withColumn("to", F.lead("at").over(by)).withColumn("dw", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by), F.lit(0.0))))
-    x = rets.join(w, "asset").where((F.col("date") > F.col("at")) & (F.col("to").isNull() | (F.col("date") <= F.col("to"))))
+    w = w.withColumn("dw", F.abs(F.col("w") - F.coalesce(F.lag("w").over(by), F.lit(0.0))))
+    held = rets.join(holding_periods(w.select("at").distinct(), rets).drop("k"), "date")
+    x = held.join(w, ["asset", "at"])
     first = F.row_number().over(Window.partitionBy("asset", "at").orderBy("date")) == 1
     x = x.withColumn("c", F.when(first, F.col("dw") * cost_bps / 1e4).otherwise(0.0))
     return x.groupBy("date").agg((F.sum(F.col("w") * F.col("r")) - F.sum("c")).alias("r"))

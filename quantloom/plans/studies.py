@@ -14,6 +14,7 @@ from .. import panels as P
 from ..functions.exprs import kurt_g2, ordered
 from ..kernels import hmm as H
 from ..kernels import worlds as W
+from ..kernels.numeric import sign_test_p, signed_rank_p
 from ..operators import events as E
 from ..operators import inference as I
 from ..operators import laws as L
@@ -22,6 +23,8 @@ from ..operators import models as X
 from ..operators import pairs as Q
 from ..operators import resample as B
 from ..operators import volatility as V
+from ..operators.expanding import expanding_quantiles
+from ..staging import staged
 from . import book, t3
 from .t1 import _gk, _gr, _mkt, _rets
 
@@ -63,8 +66,7 @@ def surge_lift(rets: DataFrame, gk: DataFrame, horizon: int = 21, halflife: floa
     d = mk.withColumn("d", F.abs(F.col("l") - F.lag("l").over(ordered()))).where("d is not null")
     meta = X.ewm_moments(d, halflife, "d").select("date", F.col("ewm_mean").alias("meta"))
     x = jt.join(meta, "date").withColumn("asset", F.lit("market"))
-    past = ordered().rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("lo", F.percentile("meta", F.lit(1 / 3)).over(past)).withColumn("hi", F.percentile("meta", F.lit(2 / 3)).over(past))
+    x = expanding_quantiles(x, "meta", {"lo": 1 / 3, "hi": 2 / 3})
     x = x.withColumn("later", F.avg("joint").over(ordered().rowsBetween(1, horizon)))
     return x.agg(F.avg(F.when(F.col("meta") >= F.col("hi"), F.col("later"))).alias("agitated"), F.avg(F.when(F.col("meta") <= F.col("lo"), F.col("later"))).alias("calm")).withColumn("lift", F.try_divide("agitated", "calm"))
 
@@ -138,7 +140,20 @@ def _pct(x: DataFrame, value: str, by: list[str]) -> DataFrame:
 @study
 def horserace(s, d):
     """Engines by predictive score."""
-    return t3.QUERIES["regime_horserace"](s, d)
+    score = t3.QUERIES["regime_horserace"](s, d)
+    m, out = _mkt(s, d), None
+    worst = m.withColumn("dd", F.sum("r").over(Window.partitionBy("u").orderBy("date").rowsBetween(1, 21))).orderBy("dd", "date").limit(5).select(F.col("date").alias("start"))
+    worst = staged(worst)
+    for engine in ("gaussian", "duration", "jump"):
+        x = t3._feats(s, d)
+        r = staged((X.jump_regimes(x) if engine == "jump" else X.regimes(x, engine)).where("regime >= 0").select("u", "date", "regime"))
+        late = I.crash_latency(r, worst.join(r.select(F.col("date").alias("start")), "start")).agg(F.avg("latency").alias("latency"))
+        # what the regimes are worth: the market held in full but in the stressed one, known the day before
+        held = F.when(F.lag("regime").over(Window.partitionBy("u").orderBy("date")) == 2, 0.0).otherwise(1.0)
+        worth = M.summary(r.join(m, ["u", "date"]).withColumn("h", held).select("date", (F.col("h") * F.col("r")).alias("r"), F.lit(engine).alias("asset"))).select("sharpe")
+        one = I.persistence(r).drop("u").crossJoin(late).crossJoin(worth).withColumn("engine", F.lit(engine))
+        out = one if out is None else out.unionByName(one)
+    return score.join(out, "engine", "left")
 
 
 @study
@@ -212,7 +227,9 @@ def synthesis(s, d):
 @study
 def tails(s, d):
     """Scores by number of states in known worlds."""
-    return khallucination(s)
+    k = khallucination(s).select(F.concat_ws("/", "world", "family", F.col("k").cast("string")).alias("model"), "score", F.lit(None).cast("double").alias("p"), F.lit(None).cast("int").alias("kept"))
+    real = X.scores_confidence_set(X.model_scores(t3._feats(s, d))).select(F.concat(F.lit("real/"), F.col("model")).alias("model"), "score", "p", "kept")
+    return k.unionByName(real)
 
 
 @study
@@ -232,7 +249,7 @@ def laws(s, d):
 def clock(s, d):
     """Tail dependence of pairs in excess of the Gaussian null, and commonality of clocks."""
     r = _rets(s, d)
-    null = B.gaussian_tail_null(s, 1000, draws=40).withColumn("bin", F.round(F.col("rho") / 0.05).cast("int"))
+    null = B.gaussian_tail_null(s).withColumn("bin", F.round(F.col("rho") / 0.05).cast("int"))
     x = Q.tail_dependence(r).join(Q.spearman_pairs(r), ["a", "b"]).withColumn("bin", F.round(F.col("gauss_rho") / 0.05).cast("int"))
     y = x.join(F.broadcast(null), "bin").agg(F.avg(F.col("lower_tail") - F.col("mean")).alias("excess"), F.avg((F.col("lower_tail") > F.col("p95")).cast("double")).alias("above_null"))
     return y.crossJoin(clock_commonality(_gk(s, d)).select("first", "second"))
@@ -253,15 +270,29 @@ def surge_intensity(s, d):
 @study
 def bits(s, d):
     """Direction bits and the Sharpe ceiling they allow."""
-    x = t3.QUERIES["direction_bits"](s, d)
-    return x.withColumn("ceiling", E.sharpe_ceiling(F.greatest("bits", F.lit(0.0)) * F.log(F.lit(2.0))))
+    r, out = staged(_rets(s, d)), None
+    w = ordered()
+    for h in (1, 5, 21):
+        f = E.causal_features(r).withColumn("full", F.concat_ws("_", "sg", "mom", "volt")).drop("next")
+        ahead = r.select("asset", "date", F.when(F.count("r").over(w.rowsBetween(1, h)) >= h, F.signum(F.sum("r").over(w.rowsBetween(1, h))).cast("int")).alias("next"))
+        one = X.direction_bits(f.join(ahead.where("next is not null"), ["asset", "date"]), "full", "next").withColumn("part", F.lit(f"direction/{h}"))
+        out = one if out is None else out.unionByName(one)
+    vol = F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-20, 0)))
+    x = r.withColumn("vol", vol).withColumn("nx", F.abs(F.lead("r").over(w))).withColumn("era", F.ntile(2).over(w))
+    for part, rows in (("magnitude", x), ("magnitude/early", x.where("era = 1")), ("magnitude/late", x.where("era = 2"))):
+        one = X.knn_information(rows, "vol", "nx").select("asset", (F.col("nats") / F.log(F.lit(2.0))).alias("bits"), F.lit(None).cast("int").alias("significant"), F.lit(part).alias("part"))
+        out = out.unionByName(one)
+    out = staged(out)
+    total = out.where("part in ('direction/1', 'magnitude')").groupBy("asset").agg(F.sum(F.greatest("bits", F.lit(0.0))).alias("bits"))
+    out = out.unionByName(total.select("asset", "bits", F.lit(None).cast("int").alias("significant"), F.lit("total").alias("part")))
+    return out.withColumn("ceiling", E.sharpe_ceiling(F.greatest("bits", F.lit(0.0)) * F.log(F.lit(2.0))))
 
 
 @study
 def arrow(s, d):
     """Irreversibility of returns and of deformed returns."""
     x = L.standardized(_gk(s, d))
-    return X.entropy_test(x, "r", 40).withColumn("kind", F.lit("returns")).unionByName(X.entropy_test(x, "z", 40).withColumn("kind", F.lit("deformed")))
+    return X.entropy_test(x, "r").withColumn("kind", F.lit("returns")).unionByName(X.entropy_test(x, "z").withColumn("kind", F.lit("deformed")))
 
 
 def _agents(s, configs, **kw):
@@ -277,46 +308,92 @@ def decathlon(s, d):
 @study
 def decathlon2(s, d):
     """Anticipators switched on and off."""
-    return _agents(s, ("FCVM", "FCVMA"))
+    main = X.majority_scores(X.agent_batteries(s, configs={k: k for k in ("FCVMA", "FVA", "FA")})).select("config", "seeds", "score", "kurt")
+    return main.unionByName(anticipator_grid(s))
+
+
+def anticipator_grid(s, seeds: int = 4, rows: int = 6000, draws: int = 120) -> DataFrame:
+    """Scores over the 18 settings of the anticipators' strength, capital and noise, on seeds of their own; a run is one group."""
+    cells = [(i, *c) for i, c in enumerate((k, c, n, 900 + j) for k in (0.25, 0.5, 1.0) for c in (0.01, 0.02, 0.05) for n in (0.001, 0.002) for j in range(seeds))]
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        c = p.iloc[0]
+        m = W.Market(ahead=float(c["ahead"]), capital=float(c["capital"]), ahead_noise=float(c["noise"]))
+        b = W.battery(W.agent_market("FCVMA", [int(c["seed"])], rows, market=m)[0], int(c["seed"]), draws)
+        return pd.DataFrame({"config": [f"A/{c['ahead']:g}/{c['capital']:g}/{c['noise']:g}"], "kurt": [b["kurt"]], **{f"E{k}": [b[f"E{k}"]] for k in range(1, 11)}})
+
+    facts = ", ".join(f"E{k} double" for k in range(1, 11))
+    got = X.grid(s, cells, "cell int, ahead double, capital double, noise double, seed int", fn, f"config string, kurt double, {facts}")
+    return X.majority_scores(got).select("config", "seeds", "score", "kurt")
 
 
 def _paired(s, name: str, pairs: int = 32, rows: int = 6000, draws: int = 120, **change) -> DataFrame:
-    """Scores of a change against its control on the same seeds, with sign counts; a seed is one group."""
+    """A change against its control on the same seeds: means of score and direction bits, wins, and the
+    signed-rank and sign tests of the bits; a seed is one group. ``flows`` and ``control`` name the markets."""
+    flows, control = change.pop("flows", "FCVMA"), change.pop("control", "FCVMA")
     seeds = [(k, 100 + k) for k in range(pairs)]
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         sd = int(p["seed"].iloc[0])
-        a, b = (W.battery(W.agent_market("FCVMA", [sd], rows, **kw)[0], sd, draws)["score"] for kw in ({}, change))
-        return pd.DataFrame({"seed": [sd], "control": [a], "changed": [b]})
+        a, b = (W.battery(W.agent_market(f, [sd], rows, **kw)[0], sd, draws) for f, kw in ((control, {}), (flows, change)))
+        return pd.DataFrame({"seed": [sd], "control": [a["score"]], "changed": [b["score"]], "bits0": [a["bits"]], "bits1": [b["bits"]]})
 
-    x = X.grid(s, seeds, "cell int, seed int", fn, "seed int, control double, changed double")
-    return x.agg(F.count(F.lit(1)).alias("seeds"), F.avg(F.col("changed") - F.col("control")).alias("gain"), F.sum((F.col("changed") > F.col("control")).cast("int")).alias("wins")).withColumn("change", F.lit(name))
+    x = X.grid(s, seeds, "cell int, seed int", fn, "seed int, control double, changed double, bits0 double, bits1 double").withColumn("change", F.lit(name))
+
+    def tests(p: pd.DataFrame) -> pd.DataFrame:
+        d = (p["bits1"] - p["bits0"]).to_numpy()
+        return pd.DataFrame({
+            "seeds": [len(p)], "gain": [float((p["changed"] - p["control"]).mean())], "wins": [int((p["changed"] > p["control"]).sum())], "bits_gain": [float(d.mean())],
+            "signed_rank_p": [float(signed_rank_p(d))], "sign_p": [float(sign_test_p(int((d > 0).sum()), int((d != 0).sum())))],
+        })
+
+    return X.per_series(x, ["change"], tests, "seeds int, gain double, wins int, bits_gain double, signed_rank_p double, sign_p double", order="seed")
 
 
 @study
 def decathlon3(s, d):
     """Five layers of anticipation against one, paired by seed."""
-    return _paired(s, "layers5", layers=5)
+    one = _paired(s, "one layer against none", control="FCVM")
+    return one.unionByName(_paired(s, "five layers against one", layers=5))
 
 
 @study
 def decathlon4(s, d):
     """Quotes that lean against forecast flow, paired by seed."""
-    return _paired(s, "lean1", lean=1.0)
+    out = None
+    for lean in (0.5, 1.0):
+        x = _paired(s, f"lean {lean:g}", flows="FCVM", control="FCVM", lean=lean)
+        out = x if out is None else out.unionByName(x)
+    return out.join(quote_leak(s), "change", "left")
+
+
+def quote_leak(s, seeds: int = 8, rows: int = 6000) -> DataFrame:
+    """Correlation of the flow to come, known the day before, with the day's return, by how far quotes lean; a seed is one group."""
+    cells = [(i, lean, 100 + k) for i, (lean, k) in enumerate((v, k) for v in (0.0, 0.5, 1.0) for k in range(seeds))]
+
+    def fn(p: pd.DataFrame) -> pd.DataFrame:
+        c, m = p.iloc[0], W.Market()
+        r = W.agent_market("FCVM", [int(c["seed"])], rows, lean=float(c["lean"]))[0]
+        var, flow = m.target_vol**2, np.empty(rows)
+        for t in range(rows):
+            flow[t] = m.flow_to_come(np.array([var]))
+            var += m.vol_speed * (r[t] ** 2 - var)
+        return pd.DataFrame({"change": [f"lean {c['lean']:g}"], "leak": [float(np.corrcoef(flow, r)[0, 1])]})
+
+    return X.grid(s, cells, "cell int, lean double, seed int", fn, "change string, leak double").groupBy("change").agg(F.avg("leak").alias("leak"))
 
 
 @study
 def battery_audit(s, d):
     """The battery on the panel's own series."""
-    fn = lambda p: pd.DataFrame({"score": [W.battery(p["r"].to_numpy(float), 0, 30)["score"]]})
+    fn = lambda p: pd.DataFrame({"score": [W.battery(p["r"].to_numpy(float), 0)["score"]]})
     return X.per_series(_rets(s, d), ["asset"], fn, "score double")
 
 
 @study
 def score_se(s, d):
     """Spread of scores over seeds."""
-    b = X.agent_batteries(s)
-    return b.groupBy("config").agg(F.avg("score").alias("score"), (F.stddev_samp("score") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    return B.majority_spread(X.agent_batteries(s))
 
 
 @study
@@ -341,7 +418,7 @@ def reflex(s, d):
 def constants(s, d):
     """Constancy of the laws over eras."""
     est = law_estimates(law_battery(_gk(s, d)), "era").withColumn("centre", F.col("group").cast("double"))
-    v = B.variance_ratio(est.where("sd is not null"), "law", 1000)
+    v = B.variance_ratio(est.where("sd is not null"), "law")
     return v.withColumn("label", I.classify(F.col("vr_p"), F.col("trend_p")))
 
 

@@ -24,6 +24,7 @@ from ..operators import relational as J
 from ..operators import risk as R
 from ..operators import signals as S
 from ..operators import volatility as V
+from ..staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,7 +42,8 @@ BASE = {
     "gk": """select asset, date, open, high, low, close, volume, case when v > 0 then v end as gk_var from (select *, round(
         0.5*ln(high/low)*ln(high/low) - 0.3862943611198906*ln(close/open)*ln(close/open) + power(ln(open / lag(close) over (partition by asset order by date)), 2), 10) as v from bars)""",
     "vols": "select *, round(sqrt(avg(r*r) over (order by date rows between 19 preceding and current row)), 10) as vol from mkt",
-    "regs": """select date, r, cast(case when vol > (select quantile_cont(vol, 2/3.) from vols) then 2 when vol > (select quantile_cont(vol, 1/3.) from vols) then 1 else 0 end as int) as regime from vols""",
+    "regs": """select date, r, cast(case when n < 60 then 1 when vol > b then 2 when vol > a then 1 else 0 end as int) as regime from (select *, count(vol) over w as n,
+        quantile_cont(vol, 1/3.) over w as a, quantile_cont(vol, 2/3.) over w as b from vols window w as (order by date rows between unbounded preceding and 1 preceding))""",
     "gr": "select *, round(ln(close / lag(close) over (partition by asset order by date)), 10) as r from gk",
     "pr": "select x.date, x.asset as a, y.asset as b, x.r as x, y.r as y from rets x join rets y on x.date = y.date and x.asset < y.asset",
 }
@@ -299,7 +301,9 @@ def lowvol_rank(s, d):
     select asset, date, regime, round(momentum, 5) as momentum, round(mean_reversion, 5) as mean_reversion, round(low_vol, 5) as low_vol, round({_XZ.format(x='x')}, 5) as combined from j""")
 def combined_signal(s, d):
     """Regime-weighted blend of the signals."""
-    return rnd(S.combined(_rets(s, d), _regs(s, d)), 5)
+    r = staged(_rets(s, d))
+    m = P.market(r).withColumn("u", F.lit("flag"))
+    return rnd(S.combined(r, P.regimes_by_vol(m)), 5)
 
 
 # ---- book and risk
@@ -372,9 +376,10 @@ def asof_regime_join(s, d):
     """Every price with the last published regime."""
     pub = _regs(s, d).where(F.dayofmonth("date").isin(1, 11, 21)).select("date", "regime")
     prices = P.panel_flag(s, d)
-    assets = prices.select("asset").distinct()
-    joined = J.asof_join(prices, pub.join(F.broadcast(assets)), ("asset",), "regime")
-    return joined.withColumn("regime", F.coalesce("regime", F.lit(-1)))
+    # what holds on a date holds for all its assets: as of by date first, then an equi-join
+    days = prices.select(F.lit("all").alias("u"), "date").distinct()
+    joined = prices.join(J.asof_join(days, pub.withColumn("u", F.lit("all")), ("u",), "regime").drop("u"), "date")
+    return joined.select("asset", "date", "close", F.coalesce("regime", F.lit(-1)).alias("regime"))
 
 
 @query("""with ev as (select * from (values ('AF', date '1993-06-01', 0.5), ('AF', date '1994-06-01', 0.9), ('NO', date '1996-01-01', 2.0)) t(asset, event_date, factor))

@@ -110,7 +110,7 @@ def ks_two_sample(s, d):
     r = _rets(s, d)
     n = r.select(F.col("asset").alias("a")).distinct()
     pairs = n.crossJoin(n.withColumnRenamed("a", "b")).where("a < b")
-    return rnd(L.ks_two_sample(r, "asset", "r", F.broadcast(pairs)))
+    return rnd(L.ks_two_sample(r, "asset", "r", pairs))
 
 
 # ---- events and information

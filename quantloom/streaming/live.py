@@ -53,6 +53,13 @@ def ewm_stream(x: DataFrame, halflife: float = 21.0, key: str = "asset") -> Data
     return stateful(x, lambda: EwmMoments(halflife), lambda m, r: m.step(float(r["r"])), "ewm_mean double, ewm_std double", key)
 
 
+def run_to_end(x: DataFrame, folder: str) -> DataFrame:
+    """What the stream has put out by the end of its input; output and checkpoint in a folder of the run's own."""
+    w = x.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck")
+    w.trigger(availableNow=True).start().awaitTermination()
+    return x.sparkSession.read.schema(x.schema).parquet(f"{folder}/out")
+
+
 def tumbling_bars(ticks: DataFrame, width: str = "7 days", delay: str = "1 day") -> DataFrame:
     """Bars of event-time windows; late ticks beyond the delay go."""
     g = ticks.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("asset"))

@@ -209,3 +209,58 @@ def test_agent_market_is_deterministic_and_ablatable():
     g = worlds.battery(worlds.agent_market("", [3], 4000)[0], draws=40)
     assert abs(g["kurt"] - 3) < 0.5 and g["E2"] == 0 and g["E3"] == 0
     assert not np.array_equal(worlds.agent_market("FCVMA", [1], 800), a[:1])
+
+
+#: Published scores by majority of eight seeds, and median statistics, of the agent markets.
+PUBLISHED = {"G": 3, "F": 3, "FC": 1, "FV": 5, "FCV": 5, "FCVM": 5, "FCVMH": 4}
+MEDIANS = {"FV": (0.313, 9.313, -0.181, -0.137), "FCVM": (0.036, 8.786, -0.125, -0.408), "FCVMH": (-0.137, 4.502, -0.070, -0.613), "FC": (0.054, 3.001, -0.007, -0.646)}
+
+
+def test_agent_markets_meet_published_outcomes():
+    for name, score in PUBLISHED.items():
+        runs = worlds.agent_market(worlds.CONFIGS[name], list(range(100, 108)))
+        b = [worlds.battery(r, 100 + k) for k, r in enumerate(runs)]
+        votes = np.array([[x[f"E{k}"] for k in range(1, 11)] for x in b]).sum(0)
+        assert int((votes > 4).sum()) == score, (name, votes)
+        if name in MEDIANS:
+            got = [float(np.median([x[k] for x in b])) for k in ("ac1", "kurt", "leverage", "skew_week")]
+            assert np.allclose(got, MEDIANS[name], atol=0.003, rtol=0.001), (name, got)
+
+
+def test_layers_of_anticipators_add_up():
+    m, var = worlds.Market(), np.array([[4e-4], [1e-4], [2.5e-5]])
+    assert np.allclose(m.anticipated(var, 5)[0], 0.02288086, atol=1e-7) and m.anticipated(var, 5)[1] == 0
+    flow = m.flow_to_come(var)
+    free = worlds.Market(capital=1.0)
+    for k in (1, 2, 5, 40):
+        assert np.allclose(free.anticipated(var, k), (1 - 0.75**k) * flow)
+        assert (np.abs(m.anticipated(var, k)) <= k * m.capital + 1e-15).all()
+
+
+def test_capped_weights_by_iteration():
+    rng = worlds.rng_of(30)
+    for n, cap in ((8, 0.3), (48, 0.12), (10, 0.11), (5, 0.2), (4, 0.1)):
+        w = rng.pareto(1.2, n)
+        want = w / w.sum()
+        for _ in range(200):  # excess to the others by room, until none is left
+            over = np.maximum(want - cap, 0)
+            want = np.minimum(want, cap)
+            room = cap - want
+            if over.sum() < 1e-15 or room.sum() < 1e-12:
+                break
+            want = want + over.sum() * room / room.sum()
+        got = portfolio.capped(w, cap)
+        assert abs(got.sum() - 1) < 1e-9 and np.allclose(got, want / want.sum(), atol=1e-9)
+
+
+def test_lever_foretells_without_looking_ahead():
+    rng = worlds.rng_of(31)
+    r = rng.standard_normal(900) * np.where(np.arange(900) // 150 % 2, 0.02, 0.005)
+    a, b = volmodels.lever_vol(r), volmodels.lever_vol(np.concatenate([r[:700], 50 * r[700:]]))
+    assert np.allclose(a[:700], b[:700], equal_nan=True) and not np.allclose(a[700:], b[700:])
+    sq = r * r
+    t = 600 - 600 % 21
+    x = np.array([[1, sq[s], sq[s - 4 : s + 1].mean(), sq[s - 21 : s + 1].mean()] for s in range(21, t)])
+    beta = np.linalg.lstsq(x, sq[22 : t + 1], rcond=None)[0]
+    now = np.array([1, sq[t], sq[t - 4 : t + 1].mean(), sq[t - 21 : t + 1].mean()])
+    assert abs(a[t] - math.sqrt(max(now @ beta, 1e-10) * 252)) < 1e-9
