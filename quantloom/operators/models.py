@@ -48,7 +48,7 @@ def features(rets: DataFrame, window: int = 10, by: tuple[str, ...] = ("u",)) ->
     """Return and log of the trailing annual volatility (floored)."""
     w = trailing(window, by)
     vol = F.when(F.count("r").over(w) >= window, F.stddev_samp("r").over(w) * (252**0.5))
-    return rets.withColumn("logvol", F.log(F.greatest(vol, F.lit(1e-4)))).where("logvol is not null")
+    return rets.withColumn("logvol", F.when(vol.isNotNull(), F.log(F.greatest(vol, F.lit(1e-4))))).where("logvol is not null")
 
 
 ENGINES: dict[str, Callable[[], H.HMM]] = {
@@ -115,7 +115,7 @@ def features_range(rets: DataFrame, gk: DataFrame, window: int = 10, least: int
     mk = gk.where("gk_var is not null").groupBy("date").agg(F.avg("gk_var").alias("gk_var"))
     w = trailing(window, ("u",))
     vol = F.when(F.count("gk_var").over(w) >= least, F.sqrt(F.avg("gk_var").over(w) * 252))
-    return rets.join(mk, "date").withColumn("logvol", F.log(F.greatest(vol, F.lit(1e-4)))).where("logvol is not null").select("u", "date", "r", "logvol")
+    return rets.join(mk, "date").withColumn("logvol", F.when(vol.isNotNull(), F.log(F.greatest(vol, F.lit(1e-4))))).where("logvol is not null").select("u", "date", "r", "logvol")
 
 
 #: Regime models by name: Gaussian and Student-t with two to five states, durations, jumps.

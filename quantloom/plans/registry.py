@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import studies, t1, t1b, t3, t4
+from . import studies, t1, t1b, t3, t4, t5
 
 QUERIES = {**t1.QUERIES, **t1b.QUERIES, **t3.QUERIES, **t4.QUERIES, **studies.QUERIES}
-ORACLE = {**t1.ORACLE}
+ORACLE = {**t1.ORACLE, **t5.oracle()}

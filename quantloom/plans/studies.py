@@ -25,8 +25,9 @@ from ..operators import resample as B
 from ..operators import volatility as V
 from ..operators.expanding import expanding_quantiles
 from ..staging import staged
-from . import book, t3
-from .t1 import _gk, _gr, _mkt, _rets
+from . import book, t1b, t3, t5  # noqa: F401
+from .t1 import QUERIES as QUERIES_SQL
+from .t1 import _gk, _gr, _mkt, _rets, rnd
 
 STUDIES: dict = {}
 CFG = book.BookConfig()
@@ -134,6 +135,13 @@ def _pct(x: DataFrame, value: str, by: list[str]) -> DataFrame:
     return x.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
 
 
+def _by_asset(s, d, names: tuple[str, ...]) -> DataFrame:
+    out = QUERIES_SQL[names[0]](s, d)
+    for n in names[1:]:
+        out = out.join(QUERIES_SQL[n](s, d), "asset")
+    return out
+
+
 # ---- the studies
 
 
@@ -170,7 +178,7 @@ def vollab(s, d):
 @study
 def rough(s, d):
     """Roughness: whole sample and sub-windows, quartiles."""
-    return _pct(L.subwindow_hurst(_gk(s, d)), "hurst", ["asset"]).join(L.hurst(_gk(s, d)), "asset")
+    return rnd(_pct(L.subwindow_hurst(_gk(s, d)), "hurst", ["asset"]).join(L.hurst(_gk(s, d)), "asset"))
 
 
 @study
@@ -241,8 +249,7 @@ def rfsv(s, d):
 @study
 def laws(s, d):
     """Kurtosis law and deformation per asset."""
-    g = _gk(s, d)
-    return L.kurtosis_law(g).join(L.deformed_kurtosis(g), "asset").join(L.mrw_lambda2(_rets(s, d)), "asset")
+    return _by_asset(s, d, t5.LAWS)
 
 
 @study
@@ -258,7 +265,7 @@ def clock(s, d):
 @study
 def surge(s, d):
     """Cascade moments, arrow and leverage per asset."""
-    return L.cascade_moments(_gk(s, d)).join(L.zumbach(_gr(s, d)), "asset").join(L.leverage_effect(_gr(s, d)), "asset")
+    return _by_asset(s, d, t5.SURGE)
 
 
 @study

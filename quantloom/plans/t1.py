@@ -62,9 +62,9 @@ def full_sql(text: str) -> str:
                 todo.append(BASE[name])
     ctes = [f"{n} as ({BASE[n]})" for n in ORDER if n in need]
     body = text.strip()
-    if body.startswith("with "):
-        body = body[5:]
-        return "with " + ", ".join([*ctes, body]) if ctes else "with " + body
+    head = "with recursive " if body.startswith("with recursive ") else "with "
+    if body.startswith(head):
+        return head + ", ".join([*ctes, body[len(head) :]])
     return ("with " + ", ".join(ctes) + " " if ctes else "") + body
 
 

@@ -86,13 +86,13 @@ def vol_model_confidence_set(s, d):
 @query
 def ewma_riskmetrics(s, d):
     """Recursive variance per asset."""
-    return X.ewma_variance(_rets(s, d))
+    return rnd(X.ewma_variance(_rets(s, d)), 10)
 
 
 @query
 def ewm_vol(s, d):
     """Exponentially weighted mean and deviation per asset."""
-    return X.ewm_moments(_rets(s, d))
+    return rnd(X.ewm_moments(_rets(s, d)).withColumn("ewm_std", F.nanvl("ewm_std", F.lit(None).cast("double"))), 8)
 
 
 @query
@@ -100,7 +100,7 @@ def exposure_full(s, d):
     """Lever, brakes and smoothed exposure of the market book."""
     from ..operators.risk import exposure_brakes
 
-    return X.exposure(exposure_brakes(_mkt(s, d)))
+    return rnd(X.exposure(exposure_brakes(_mkt(s, d))))
 
 
 @query
@@ -199,8 +199,8 @@ _CFG = book.BookConfig()
 
 
 def _book_regs(s, d):
-    """u, date, regime: walk-forward Student-t regimes of the market; the middle one before the first fit, as in the reference."""
-    m, got = _mkt(s, d), X.regimes(_feats(s, d), "student").select("date", "regime")
+    """u, date, regime: walk-forward Gaussian regimes of the market; the middle one before the first fit, as in the reference."""
+    m, got = _mkt(s, d), X.regimes(_feats(s, d), "gaussian").select("date", "regime")
     known = F.when(F.col("regime") >= 0, F.col("regime")).otherwise(F.lit(1))
     return staged(m.join(got, "date", "left").select("u", "date", known.alias("regime")))
 
@@ -220,7 +220,8 @@ def signal_sleeves(s, d):
 @query
 def hedge_ensemble(s, d):
     """Multiplicative weights over the assets as experts."""
-    return X.hedge_weights(_rets(s, d).select(F.lit("all").alias("u"), "date", F.col("asset").alias("expert"), "r"))
+    w = X.hedge_weights(_rets(s, d).select(F.lit("all").alias("u"), "date", F.col("asset").alias("expert"), "r"))
+    return w.select("u", "date", F.round(F.array_max("weights"), 7).alias("top"), F.round("r", 9).alias("r"))
 
 
 @query
@@ -318,4 +319,4 @@ def ewma_stream(s, d):
     _rets(s, d).select("asset", "date", "r").write.parquet(f"{folder}/in")
     # all files in one micro-batch: rows of an asset lie in many of them, and a batch puts them in order
     x = live.read_bars(s, f"{folder}/in", "asset string, date timestamp, r double", 1_000_000)
-    return live.run_to_end(live.ewma_stream(x), folder)
+    return rnd(live.run_to_end(live.ewma_stream(x), folder), 10)

@@ -29,7 +29,7 @@ from ..sources import files
 from ..staging import shared_folder, staged
 from ..streaming import live
 from . import book, system, t3
-from .t1 import _gk, _gr, _mkt, _rets
+from .t1 import _gk, _gr, _mkt, _rets, rnd
 
 QUERIES: dict = {}
 
@@ -78,7 +78,7 @@ def asset_vol_forecasts(s, d):
 @query
 def frozen_system(s, d):
     """The core book with unchanged settings on another universe (nations, weekly), beside its market and equal weights."""
-    r = staged(P.returns(P.bars_nation_weekly(s, d).select("asset", "date", "close")))
+    r = staged(P.returns(P.bars_nation(s, d).select("asset", "date", "close")))
     m = staged(P.market(r).withColumn("u", F.lit("all")))
     got = X.regimes(X.features(m), "student").select("date", "regime")
     regs = staged(m.join(got, "date", "left").select("u", "date", F.when(F.col("regime") >= 0, F.col("regime")).otherwise(F.lit(1)).alias("regime")))
@@ -196,7 +196,7 @@ def jump_penalty(s, d):
 @query
 def regime_features_range(s, d):
     """Returns and log volatility from ranges, the alternative features."""
-    return X.features_range(_mkt(s, d), _gk(s, d))
+    return X.features_range(_mkt(s, d), _gk(s, d)).withColumn("logvol", F.round("logvol", 8))
 
 
 @query
@@ -229,7 +229,7 @@ def regime_smoothed(s, d):
 @query
 def market_clock(s, d):
     """Kurtosis raw, by the market's volatility, by the asset's own."""
-    return L.market_clock_deformation(_gk(s, d))
+    return rnd(L.market_clock_deformation(_gk(s, d)), 5)
 
 
 @query
@@ -351,14 +351,14 @@ def ledger_stream(s, d):
     x = live.read_bars(s, f"{at}/in", "asset string, date timestamp, open double, high double, low double, close double", 1000)
     equal = lambda bars: bars.select("date", "asset", (1 / F.count(F.lit(1)).over(Window.partitionBy("date"))).alias("w"))
     live.ledger_stream(x, f"{at}/out", f"{at}/ck", equal, 6).awaitTermination()
-    return files.read_ledger(s, f"{at}/out").select(F.col("date").cast("timestamp").alias("date"), "status", F.size("weights").alias("assets"))
+    return files.read_ledger(s, f"{at}/out").select(F.col("date").cast("timestamp").alias("date"), "status", F.coalesce(F.size("weights"), F.lit(-1)).alias("assets"))
 
 
 @query
 def tumbling_bars_stream(s, d):
     """Weekly bars of the event types from a stream of ticks."""
     at = _folder(s, "bars")
-    ev = P.table(s, d, "events").select("ts", "event_type", "value")
+    ev = P.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     ev.write.parquet(f"{at}/in")
     x = live.read_bars(s, f"{at}/in", ev.schema.simpleString()[7:-1].replace(":", " "), 1000)
     return live.run_to_end(live.tumbling_bars(x), at)

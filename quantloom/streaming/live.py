@@ -63,7 +63,7 @@ def run_to_end(x: DataFrame, folder: str) -> DataFrame:
 def tumbling_bars(ticks: DataFrame, width: str = "7 days", delay: str = "1 day") -> DataFrame:
     """Bars of event-time windows; late ticks beyond the delay go."""
     g = ticks.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("asset"))
-    a = g.agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count(F.lit(1)).alias("n"))
+    a = g.agg(F.min_by("value", F.struct("ts", "value")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "value")).alias("close"), F.count(F.lit(1)).alias("n"))
     return a.select("asset", F.col("w.start").alias("date"), "open", "high", "low", "close", "n")
 
 
