@@ -119,20 +119,28 @@ def exposure(gross: DataFrame, vol: DataFrame, cfg: SystemConfig = SystemConfig(
     return X.per_series(x, ["u"], fn, "date timestamp, r double, vol double, raw double, exposure double")
 
 
-def run_system(rets: DataFrame, gk: DataFrame, regimes: DataFrame, cfg: SystemConfig = SystemConfig()) -> dict[str, DataFrame]:
-    """Targets, trades, daily weights, exposure and net returns of the system."""
+def hold(rets: DataFrame, regimes: DataFrame, cfg: SystemConfig = SystemConfig()) -> dict[str, DataFrame]:
+    """Targets, trades and daily weights of the book before it is sized."""
     rets, b = staged(rets), cfg.book()
     targets = staged(book.target_weights(rets, combined(rets, regimes), "combined", b))
     trades = staged(book.traded(targets, rets, b).drop("book"))
-    daily = staged(book.daily_weights(trades, rets))
+    return {"rets": rets, "targets": targets, "trades": trades, "daily": staged(book.daily_weights(trades, rets))}
+
+
+def size(held: dict[str, DataFrame], vols: DataFrame, cfg: SystemConfig = SystemConfig()) -> dict[str, DataFrame]:
+    """``held`` with exposure and net returns; the exposure of a day earns from the next."""
+    rets, daily = held["rets"], held["daily"]
     gross = daily.groupBy("date").agg(F.sum(F.col("weight") * (F.exp("r") - 1)).alias("r")).withColumn("u", F.lit("system"))
-    vols = asset_vol(gk, cfg)
     vol = book_vol(daily, vols, rets, "forecast" if cfg.forecast else "realised", cfg.window)
     e = staged(exposure(gross, vol, cfg))
     lag = F.coalesce(F.lag("exposure").over(Window.partitionBy("u").orderBy("date")), F.lit(1.0))
-    net = e.withColumn("applied", lag).join(book.costs(trades, rets, b).select("date", "cost"), "date", "left").na.fill(0.0, ["cost"])
-    net = net.withColumn("net", F.col("r") * F.col("applied") - F.col("cost"))
-    return {"targets": targets, "trades": trades, "daily": daily, "exposure": e, "net": net}
+    net = e.withColumn("applied", lag).join(book.costs(held["trades"], rets, cfg.book()).select("date", "cost"), "date", "left").na.fill(0.0, ["cost"])
+    return held | {"exposure": e, "net": net.withColumn("net", F.col("r") * F.col("applied") - F.col("cost"))}
+
+
+def run_system(rets: DataFrame, gk: DataFrame, regimes: DataFrame, cfg: SystemConfig = SystemConfig()) -> dict[str, DataFrame]:
+    """Targets, trades, daily weights, exposure and net returns of the system."""
+    return size(hold(rets, regimes, cfg), asset_vol(gk, cfg), cfg)
 
 
 def allocation(system: dict[str, DataFrame], notional: float = 100_000.0, least: float = 0.005) -> DataFrame:

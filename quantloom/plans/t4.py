@@ -55,11 +55,11 @@ def trading_system(s, d):
 @query
 def trading_system_control(s, d):
     """Statistics of the system by forecast volatility, by realised volatility, and of equal weights."""
-    rows = None
+    rows, held, vols = None, system.hold(_rets(s, d), t3._book_regs(s, d)), staged(system.asset_vol(_gk(s, d)))
     for name, forecast in (("forecast", True), ("realised", False)):
-        one = _system(s, d, system.SystemConfig(forecast=forecast))["net"].select("date", F.col("net").alias("r"), F.lit(name).alias("asset"))
+        one = system.size(held, vols, system.SystemConfig(forecast=forecast))["net"].select("date", F.col("net").alias("r"), F.lit(name).alias("asset"))
         rows = one if rows is None else rows.unionByName(one)
-    equal = _rets(s, d).groupBy("date").agg(F.avg(F.exp("r") - 1).alias("r")).withColumn("asset", F.lit("equal"))
+    equal = held["rets"].groupBy("date").agg(F.avg(F.exp("r") - 1).alias("r")).withColumn("asset", F.lit("equal"))
     return M.summary(rows.unionByName(equal))
 
 
