@@ -11,8 +11,8 @@ length and repetition.
 Built-in functions only, and no document is shuffled: all counts are taken inside a row.
 Only the language references are aggregated.
 
-Defined cases: null or empty text counts as no words and fails the base rules; a null
-language is a language of its own; extra columns pass through; an empty table gives an
+Defined cases: null or empty text counts as no words and fails the base rules; null and
+empty languages are one language of their own; extra columns pass through; an empty table gives an
 empty result. Repeated rows are judged one by one.
 """
 
