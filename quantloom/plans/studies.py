@@ -462,15 +462,30 @@ def crypto_wide(s, d):
     return contrasts(u, "flag").unionByName(contrasts(u.where("group <> 'flag'"), "brand"))
 
 
+def legacy_exposure(m: DataFrame, brakes: DataFrame, start: float = 0.08, end: float = 0.20, floor: float = 0.25) -> DataFrame:
+    """u, date, exposure of the overlay as it was first published, kept for its row alone: the least of lever, CVaR
+    brake and a drawdown brake with the wrong sign (it brakes at the high and releases in the fall), smoothed."""
+    w = Window.partitionBy("u").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    nav = m.withColumn("nav", F.exp(F.sum(F.log1p("r")).over(w))).withColumn("dd", F.col("nav") / F.max("nav").over(w) - 1)
+    wrong = F.least(F.lit(1.0), F.greatest(F.lit(floor), 1 - (F.col("dd") + start) * (1 - floor) / (end - start)))
+    lever = X.exposure(m.withColumn("brake", F.lit(1.0)), cap=1.0).select("date", "lever")
+    x = nav.join(lever, "date").join(brakes.select("date", "cvar_brake"), "date").withColumn("brake", F.least("lever", "cvar_brake", wrong))
+    # smoothed as the others are, by an infinite target that leaves the brake alone
+    return X.exposure(x.select("u", "date", "r", "brake"), target=1e9, cap=1.0)
+
+
 @study
 def edge(s, d):
-    """The market book under the overlay, with and without leverage, in halves."""
+    """The market book under the overlay, in halves: the published baseline with its inverted drawdown brake, the
+    mended one, with leverage, with the forecast lever, and leaning with momentum."""
     from ..operators.risk import exposure_brakes
 
-    m, out = _mkt(s, d), None
-    brakes = exposure_brakes(m)
-    for name, cap in (("capped", 1.0), ("levered", 1.5)):
-        e = X.exposure(brakes, cap=cap)
+    m, out = staged(_mkt(s, d)), None
+    brakes = staged(exposure_brakes(m).join(book.momentum_of_market(m), "date", "left"))
+    arms = {"legacy": legacy_exposure(m, brakes)}
+    for name, cap, more in (("capped", 1.0, {}), ("levered", 1.5, {}), ("forecast", 1.5, {"forecast": True}), ("leaning", 1.5, {"forecast": True, "tilt": 0.15})):
+        arms[name] = X.exposure(brakes, cap=cap, **more)
+    for name, e in arms.items():
         x = m.join(e.select("date", "exposure"), "date").withColumn("e", F.lag("exposure").over(Window.partitionBy("u").orderBy("date"))).where("e is not null")
         x = x.withColumn("half", F.ntile(2).over(Window.partitionBy("u").orderBy("date")))
         one = x.select("date", (F.col("r") * F.col("e")).alias("r"), F.concat_ws("/", F.lit(name), F.col("half").cast("string")).alias("asset"))
