@@ -27,7 +27,7 @@ from ..operators.expanding import expanding_quantiles
 from ..staging import staged
 from . import book, t1b, t3, t5  # noqa: F401
 from .t1 import QUERIES as QUERIES_SQL
-from .t1 import _gk, _gr, _mkt, _rets, rnd
+from .t1 import _gk, _mkt, _rets, rnd
 
 STUDIES: dict = {}
 CFG = book.BookConfig()
